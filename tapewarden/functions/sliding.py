@@ -1,4 +1,4 @@
-"""Vectorised statistics over variable-length trailing windows (numpy, one chunk at a time).
+"""Vectorised work over variable-length trailing windows (numpy, one chunk at a time).
 
 Row ``i`` owns the ``size[i]`` values that end ``skip`` places before it
 (``skip = 0`` ends with its own value). Chunks are bounded by the caller's
@@ -52,8 +52,44 @@ def medians(values: np.ndarray, size: np.ndarray, skip: int, drop_largest: int =
     return out
 
 
-def arrow_columns(compute: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], inputs: tuple[str, ...], order: str):
-    """An ``applyInArrow`` function that appends numpy-computed columns to a chunk sorted by ``order``."""
+def latest_match(
+    times: np.ndarray,
+    owner: np.ndarray,
+    side: np.ndarray,
+    price: np.ndarray,
+    size: np.ndarray,
+    reach_us: int,
+    most_rows: int,
+    price_tolerance: float,
+    size_tolerance: float,
+    differs: Callable[[np.ndarray, np.ndarray], np.ndarray],
+) -> np.ndarray:
+    """Position of the latest earlier counter-trade per row, -1 for none.
+
+    Looks back one row further per pass and only at rows still unmatched and
+    in reach, so the work is the number of rows inside the reach.
+    ``owner`` is negative where there is none; ``differs`` compares identities.
+    """
+    found = np.full(len(times), -1)
+    rows = np.flatnonzero(owner >= 0)
+    for lag in range(1, most_rows):
+        rows = rows[rows >= lag]
+        rows = rows[times[rows] - times[rows - lag] <= reach_us]
+        if not len(rows):
+            break
+        other = rows - lag
+        hit = (owner[other] == owner[rows]) & (side[other] != side[rows])
+        hit &= np.abs(price[other] - price[rows]) / price[rows] <= price_tolerance
+        larger = np.maximum(np.maximum(np.abs(size[other]), np.abs(size[rows])), 1e-9)
+        hit &= np.abs(size[other] - size[rows]) / larger <= size_tolerance
+        hit[hit] = differs(other[hit], rows[hit])
+        found[rows[hit]] = other[hit]
+        rows = rows[~hit]
+    return found
+
+
+def arrow_columns(compute: Callable, order: str):
+    """An ``applyInArrow`` function appending ``compute(chunk)`` (name to array) to a chunk sorted by ``order``."""
 
     def run(chunk):
         import pyarrow as pa
@@ -61,8 +97,8 @@ def arrow_columns(compute: Callable[[dict[str, np.ndarray]], dict[str, np.ndarra
         ranks = chunk.column(order).to_numpy()
         if len(ranks) > 1 and not (np.diff(ranks) > 0).all():
             chunk = chunk.take(pa.array(np.argsort(ranks, kind="stable")))
-        for name, values in compute({c: chunk.column(c).to_numpy() for c in inputs}).items():
-            chunk = chunk.append_column(name, pa.array(values))
+        for name, values in compute(chunk).items():
+            chunk = chunk.append_column(name, values if isinstance(values, pa.ChunkedArray) else pa.array(values))
         return chunk
 
     return run

@@ -36,7 +36,6 @@ class Detector:
     build: Callable[[Rules], Verdict]
     #: Arrow-computed window columns the expressions read
     statistics: tuple[str, ...] = ()
-    wash: bool = False
 
 
 def _col(name: str) -> Column:
@@ -183,7 +182,7 @@ BUILT_IN = {
         Detector("volume_spike", _volume_spike, ("volume_median",)),
         Detector("velocity", _velocity),
         Detector("spoofing", _spoofing),
-        Detector("wash_trade", _wash_trade, wash=True),
+        Detector("wash_trade", _wash_trade, ("matched_trade_id",)),
     )
 }
 

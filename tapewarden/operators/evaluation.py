@@ -13,7 +13,10 @@ from .split import CHUNK, HALO, ROWS_PER_TASK, split_by_rank
 
 
 def stream_runs(
-    records: DataFrame, order: Sequence[str] = ORDER, rows_per_task: int = ROWS_PER_TASK
+    records: DataFrame,
+    order: Sequence[str] = ORDER,
+    keys: Sequence[str] = (),
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Maximal runs of equal state in stream order, over all symbols.
 
@@ -21,11 +24,11 @@ def stream_runs(
     ``records`` has ``label``, ``flagged`` and the order columns. A global
     order is one group, so it is cut by rank like a hot symbol: one halo row
     tells a chunk whether its first row starts a run, and the run numbers of a
-    chunk start after the runs of the chunks before it.
+    chunk start after the runs of the chunks before it. ``keys`` separates independent streams.
     """
-    slim = records.select(*order, "label", F.coalesce("flagged", F.lit(False)).alias("flagged"))
-    cut, was_cut = split_by_rank(slim, [], order, halo=1, rows_per_task=rows_per_task)
-    within = Window.partitionBy(CHUNK).orderBy(*order)
+    slim = records.select(*keys, *order, "label", F.coalesce("flagged", F.lit(False)).alias("flagged"))
+    cut, was_cut = split_by_rank(slim, keys, order, halo=1, rows_per_task=rows_per_task)
+    within = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     state = F.struct("label", F.when(F.col("label").isNull(), F.col("flagged")).alias("flagged"))
     starts = F.when(F.col(HALO), 0).when(F.col("_state").eqNullSafe(F.col("_previous")), 0).otherwise(1)
     numbered = (
@@ -36,12 +39,12 @@ def stream_runs(
         .filter(~F.col(HALO))
     )
     if was_cut:
-        earlier = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         # one row per chunk
-        base = numbered.groupBy(CHUNK).agg(F.sum("_start").alias("_runs"))
-        base = base.select(CHUNK, F.coalesce(F.sum("_runs").over(earlier), F.lit(0)).alias("_base"))
-        numbered = numbered.join(base, CHUNK).withColumn("run", F.col("run") + F.col("_base"))
-    return numbered.groupBy("run").agg(
+        base = numbered.groupBy(*keys, CHUNK).agg(F.sum("_start").alias("_runs"))
+        base = base.select(*keys, CHUNK, F.coalesce(F.sum("_runs").over(earlier), F.lit(0)).alias("_base"))
+        numbered = numbered.join(base, [*keys, CHUNK]).withColumn("run", F.col("run") + F.col("_base"))
+    return numbered.groupBy(*keys, "run").agg(
         F.any_value("label").alias("label"),
         F.bool_or("flagged").alias("flagged"),
         F.count(F.lit(1)).alias("rows"),
@@ -61,11 +64,11 @@ def _ratio(top, bottom):
     return F.when(bottom > 0, top / bottom).otherwise(0.0)
 
 
-def event_metrics(runs: DataFrame) -> DataFrame:
-    """One row: events, detections, false alarms and the ratios built from them."""
+def event_metrics(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (per key): events, detections, false alarms and the ratios built from them."""
     event, normal = F.col("label").isNotNull(), F.col("label").isNull()
     zero = F.lit(0)
-    totals = runs.agg(
+    totals = runs.groupBy(*keys).agg(
         F.coalesce(F.sum("rows"), zero).alias("total_trades"),
         F.count_if(event).alias("total_events"),
         F.count_if(event & F.col("flagged")).alias("detected_events"),
@@ -95,8 +98,7 @@ def ruleset_sweep(
 ) -> DataFrame:
     """Event metrics of several threshold sets over features computed once.
 
-    Each set becomes a boolean column of the same scan (no self-joins, no
-    repeated windows); cooldown is left out, so a set is judged on what its
+    Each set becomes one flag of the same scan (no join, no repeated windows); cooldown is left out, so a set is judged on what its
     thresholds flag. ``windows`` comes from ``engine_windows`` and has ``label``.
     """
     from .detectors import enabled_detectors
@@ -107,13 +109,9 @@ def ruleset_sweep(
         for detector in enabled_detectors(rules):
             fires = fires | F.coalesce(detector.build(rules).fires, F.lit(False))
         flags.append(F.struct(F.lit(name).alias("ruleset"), fires.alias("flagged")))
-    scored = windows.select(*ORDER, "label", F.array(*flags).alias("_flags"))
-    out = None
-    for i, name in enumerate(rulesets):
-        records = scored.select(*ORDER, "label", F.get("_flags", F.lit(i))["flagged"].alias("flagged"))
-        one = event_metrics(stream_runs(records, rows_per_task=rows_per_task)).withColumn("ruleset", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    records = windows.select(*ORDER, "label", F.inline(F.array(*flags)))
+    runs = stream_runs(records, keys=["ruleset"], rows_per_task=rows_per_task)
+    return event_metrics(runs, ["ruleset"])
 
 
 def sweep_spread(metrics: DataFrame, by: str = "ruleset") -> DataFrame:

@@ -15,25 +15,29 @@ How each piece is computed, all over one exchange and one sort:
   300 seconds, whichever is shorter"; array frames folded with ``aggregate``
   can, but measured 8 times slower (an interpreted lambda per element), and
   prefix sums cancel badly on flat prices, where a wrong standard deviation is
-  a false alert.
+  a false alert;
+* wash matches in the same pass: each look-back step compares whole columns
+  and goes on only with the rows still unmatched and in reach.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sliding import arrow_columns, medians, moments
+from ..functions.sliding import arrow_columns, latest_match, medians, moments
 from ..rules import Rules, micros
 from .split import CHUNK, ROWS_PER_TASK, own_rows, split_by_rank
 
 ORDER = ("event_us", "trade_id")
 
 #: Columns computed in Arrow; ask for the ones you need.
-STATISTICS = ("price_mean", "price_std", "volume_mean", "volume_std", "volume_median")
+STATISTICS = ("price_mean", "price_std", "volume_mean", "volume_std", "volume_median", "matched_trade_id")
 
 #: Every column :func:`engine_windows` can add.
 WINDOW_COLUMNS = (
@@ -105,84 +109,71 @@ def _counts(cut: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def _statistics(counted: DataFrame, wanted: Iterable[str]) -> DataFrame:
-    """Price and size statistics over the exact window, one bounded chunk per call."""
+def _wash_matches(chunk, rules: Rules):
+    """Latest earlier trade of the same account on the other side at about the same price and size."""
+    wash, account, ids = rules.wash_trade, chunk.column("account_id"), chunk.column("trade_id")
+    codes = account.combine_chunks().dictionary_encode().indices
+    owner = codes.fill_null(-1).to_numpy(zero_copy_only=False).astype("int64")
+    blank = pc.equal(pc.fill_null(account, ""), "").to_numpy()
+    owner[blank] = -1
+    found = latest_match(
+        chunk.column("event_us").to_numpy(),
+        owner,
+        pc.equal(chunk.column("side"), "buy").to_numpy(),
+        chunk.column("price").to_numpy(),
+        chunk.column("quantity").to_numpy(),
+        micros(min(wash.window_seconds, rules.window.horizon_seconds)),
+        rules.window.max_trades,
+        wash.price_tolerance,
+        wash.quantity_tolerance,
+        lambda a, b: pc.not_equal(ids.take(pa.array(a)), ids.take(pa.array(b))).to_numpy(),
+    )
+    return ids.take(pa.array(found, mask=found < 0))
+
+
+def _statistics(counted: DataFrame, rules: Rules, wanted: Iterable[str]) -> DataFrame:
+    """Statistics and wash matches over the exact window, one bounded chunk per call."""
     wanted = tuple(name for name in STATISTICS if name in set(wanted))
     if not wanted:
         return counted
 
-    def compute(columns):
-        size = columns["window_size"]
+    def compute(chunk):
+        size = chunk.column("window_size").to_numpy()
+        price, quantity = chunk.column("price").to_numpy(), chunk.column("quantity").to_numpy()
         out = {}
         if "price_mean" in wanted or "price_std" in wanted:
-            out["price_mean"], out["price_std"] = moments(columns["price"], size - 1, skip=1, ddof=1)
+            out["price_mean"], out["price_std"] = moments(price, size - 1, skip=1, ddof=1)
         if "volume_mean" in wanted or "volume_std" in wanted:
-            out["volume_mean"], out["volume_std"] = moments(columns["quantity"], size - 1, skip=1, ddof=1)
+            out["volume_mean"], out["volume_std"] = moments(quantity, size - 1, skip=1, ddof=1)
         if "volume_median" in wanted:
             # the largest size of the window, the current trade included, is dropped
-            out["volume_median"] = medians(columns["quantity"], size, skip=0, drop_largest=1)
+            out["volume_median"] = medians(quantity, size, skip=0, drop_largest=1)
+        if "matched_trade_id" in wanted:
+            out["matched_trade_id"] = _wash_matches(chunk, rules)
         return {name: out[name] for name in wanted}
 
-    schema = T.StructType(counted.schema.fields + [T.StructField(name, T.DoubleType()) for name in wanted])
-    run = arrow_columns(compute, ("window_size", "price", "quantity"), "_rn")
-    return counted.groupBy("symbol", CHUNK).applyInArrow(run, schema)
-
-
-def _wash_match(stats: DataFrame, rules: Rules) -> DataFrame:
-    """Latest earlier trade of the same account on the other side at the same price and size.
-
-    The frame ranges over row numbers, so it never holds more than
-    ``max_trades - 1`` rows even if one account makes the whole burst.
-    """
-    wash = rules.wash_trade
-    same_account = (
-        Window.partitionBy("symbol", CHUNK, "account_id")
-        .orderBy("_rn")
-        .rangeBetween(-(rules.window.max_trades - 1), -1)
-    )
-    entry = F.struct("event_us", "side", "price", "quantity", "trade_id")
-
-    def matches(other):
-        size_gap = F.abs(other["quantity"] - F.col("quantity"))
-        larger = F.greatest(F.abs(other["quantity"]), F.abs(F.col("quantity")), F.lit(1e-9))
-        return (
-            (other["event_us"] >= F.col("event_us") - micros(min(wash.window_seconds, rules.window.horizon_seconds)))
-            & (other["side"] != F.col("side"))
-            & (other["trade_id"] != F.col("trade_id"))
-            & (F.abs(other["price"] - F.col("price")) / F.col("price") <= wash.price_tolerance)
-            & (size_gap / larger <= wash.quantity_tolerance)
-        )
-
-    found = F.get(F.filter("_mates", matches), F.size(F.filter("_mates", matches)) - 1)["trade_id"]
-    known = F.col("account_id").isNotNull() & (F.col("account_id") != "")
-    return (
-        stats.withColumn("_mates", F.collect_list(entry).over(same_account))
-        .withColumn("matched_trade_id", F.when(known & (F.size("_mates") > 0), found))
-        .drop("_mates")
-    )
+    types = {"matched_trade_id": T.StringType()}
+    added = [T.StructField(name, types.get(name, T.DoubleType())) for name in wanted]
+    schema = T.StructType([*counted.schema.fields, *added])
+    return counted.groupBy("symbol", CHUNK).applyInArrow(arrow_columns(compute, "_rn"), schema)
 
 
 def engine_windows(
     tape: DataFrame,
     rules: Rules | None = None,
     statistics: Iterable[str] = STATISTICS,
-    wash: bool = False,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add the columns of :data:`WINDOW_COLUMNS` to a tape.
 
     ``statistics`` limits the Arrow-computed ones; the frame-based ones are
-    pruned by the optimizer when nobody selects them. With ``wash`` the matched
-    counter-trade (``matched_trade_id``) comes too.
+    pruned by the optimizer when nobody selects them.
     """
     rules = rules or Rules()
     cut, _ = split_by_rank(tape, ["symbol"], ORDER, halo=rules.window.max_trades, rows_per_task=rows_per_task)
     counted = _counts(cut, rules)
     scratch = ["_lag_price", "_buys", "_buys_cap", "_old_window", "_old_velocity", "_old_sides", "_buys_old"]
-    out = _statistics(counted.drop(*scratch), statistics)
-    if wash:
-        out = _wash_match(out, rules)
-    return own_rows(out).drop("_rn")
+    return own_rows(_statistics(counted.drop(*scratch), rules, statistics)).drop("_rn")
 
 
 def isolation_features(tape: DataFrame, rules: Rules | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:

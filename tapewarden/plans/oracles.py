@@ -21,7 +21,7 @@ TAPE = f"""tape as (
               else 'SYM' || lpad(cast(l_suppkey % 20 as varchar), 2, '0') end as symbol,
          (cast(50.0 as double) + (l_suppkey % 20) * 5 + (l_partkey % 400) * cast(0.01 as double)
            + case when l_orderkey % 389 = 0 then cast(25.0 as double) else cast(0.0 as double) end)
-           * cast(1.0000137 as double) as price,
+           * cast(1.000013718281828 as double) as price,
          (cast(l_quantity as int) % 10 + 1) * cast(100.0 as double)
            * case when l_orderkey % 211 = 0 then 20 else 1 end as quantity,
          case when (l_orderkey // 64) % 29 = 0 or l_linestatus = 'O' then 'buy' else 'sell' end as side,

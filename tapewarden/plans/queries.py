@@ -304,7 +304,7 @@ def side_imbalance(spark, sf_dir):
 
 @query
 def wash_matches(spark, sf_dir):
-    out = engine_windows(lineitem_tape(spark, sf_dir), statistics=(), wash=True)
+    out = engine_windows(lineitem_tape(spark, sf_dir), statistics=("matched_trade_id",))
     return out.filter(F.col("matched_trade_id").isNotNull()).select("trade_id", "matched_trade_id")
 
 
@@ -332,9 +332,7 @@ def trade_model_features(spark, sf_dir):
 def _detector_query(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         detector = BUILT_IN[name]
-        windows = engine_windows(
-            lineitem_tape(spark, sf_dir), statistics=detector.statistics, wash=detector.wash
-        )
+        windows = engine_windows(lineitem_tape(spark, sf_dir), statistics=detector.statistics)
         return raised_by(windows, name).select("trade_id", "symbol", "severity", _r("score"))
 
     run.__name__ = f"detect_{name}"
@@ -368,7 +366,7 @@ def alert_order(spark, sf_dir):
 
     rules = Rules()
     chosen = enabled_detectors(rules)
-    windows = engine_windows(lineitem_tape(spark, sf_dir), rules, wash=True)
+    windows = engine_windows(lineitem_tape(spark, sf_dir), rules)
     flagged, _ = alert_array(windows, rules, chosen)
     ordered = order_alerts(F.col("alerts"))
     names = F.array_join(F.transform(ordered, lambda a: a["detector"]), ">")

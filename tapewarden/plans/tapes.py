@@ -36,7 +36,7 @@ def lineitem_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
         " else concat('SYM', lpad(cast(l_suppkey % 20 as string), 2, '0')) end as symbol",
         # off the cent grid, so that averages do not sit on rounding ties
         "(50.0D + (l_suppkey % 20) * 5 + (l_partkey % 400) * 0.01D"
-        " + case when l_orderkey % 389 = 0 then 25.0D else 0.0D end) * 1.0000137D as price",
+        " + case when l_orderkey % 389 = 0 then 25.0D else 0.0D end) * 1.000013718281828D as price",
         "(cast(l_quantity as int) % 10 + 1) * 100.0D"
         " * case when l_orderkey % 211 = 0 then 20 else 1 end as quantity",
         "case when (l_orderkey div 64) % 29 = 0 or l_linestatus = 'O' then 'buy' else 'sell' end as side",
