@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 1_000_000
+ROWS_PER_TASK = 500_000
 #: Largest per-task offset table that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 

@@ -533,3 +533,13 @@ for _name, (_fires, _severity, _score) in DETECTORS.items():
         + f"select trade_id, symbol, {_severity} as severity, round(cast({_score} as double), 6) as score"
         f" from win left join wash using (trade_id) where {_fires}"
     )
+
+for _name in ("scan_parquet_trades", "scan_json_trades"):
+    ORACLES[_name] = (
+        _with(TAPE) + "select trade_id, event_us, symbol, round(price, 6) as price, quantity, side from tape"
+    )
+ORACLES["lake_partitions"] = (
+    _flags + "select strftime(make_timestamp(event_us), '%Y-%m-%d') as dt, detector, count(*) as n from anom group by 1, 2"
+)
+ORACLES["stream_window_verdicts"] = ORACLES["sliding_window_flags"]
+ORACLES["stream_engine_alerts"] = ORACLES["cooldown_alerts"]
