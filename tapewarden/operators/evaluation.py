@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..rules import Rules
 from .rolling import ORDER
-from .split import CHUNK, HALO, ROWS_PER_TASK, split_by_rank
+from .split import CHUNK, HALO, ROWS_PER_TASK, checkpointed, split_by_rank
 
 
 def stream_runs(
@@ -26,7 +26,10 @@ def stream_runs(
     tells a chunk whether its first row starts a run, and the run numbers of a
     chunk start after the runs of the chunks before it. ``keys`` separates independent streams.
     """
-    slim = records.select(*keys, *order, "label", F.coalesce("flagged", F.lit(False)).alias("flagged"))
+    # read twice below (count, then rows), and whatever flagged the rows is dear
+    slim = checkpointed(
+        records.select(*keys, *order, "label", F.coalesce("flagged", F.lit(False)).alias("flagged"))
+    )
     cut, was_cut = split_by_rank(slim, keys, order, halo=1, rows_per_task=rows_per_task)
     within = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     state = F.struct("label", F.when(F.col("label").isNull(), F.col("flagged")).alias("flagged"))
