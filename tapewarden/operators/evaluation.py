@@ -30,8 +30,8 @@ def stream_runs(
     slim = checkpointed(
         records.select(*keys, *order, "label", F.coalesce("flagged", F.lit(False)).alias("flagged"))
     )
-    cut, was_cut = split_by_rank(slim, keys, order, halo=1, rows_per_task=rows_per_task)
-    within = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    cut, group, was_cut = split_by_rank(slim, keys, order, halo=1, rows_per_task=rows_per_task)
+    within = Window.partitionBy(*group).orderBy(*order)
     state = F.struct("label", F.when(F.col("label").isNull(), F.col("flagged")).alias("flagged"))
     starts = F.when(F.col(HALO), 0).when(F.col("_state").eqNullSafe(F.col("_previous")), 0).otherwise(1)
     numbered = (

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from ..functions.sliding import arrow_columns, latest_match, medians, moments
 from ..rules import Rules, micros
-from .split import CHUNK, ROWS_PER_TASK, own_rows, split_by_rank
+from .split import ROWS_PER_TASK, own_rows, split_by_rank
 
 ORDER = ("event_us", "trade_id")
 
@@ -56,19 +56,14 @@ WINDOW_COLUMNS = (
 )
 
 
-def _frames():
-    by_rank = Window.partitionBy("symbol", CHUNK).orderBy(*ORDER)
-    by_time = Window.partitionBy("symbol", CHUNK).orderBy("event_us")
-    return by_rank, by_time
-
-
 def _older_than(by_time, seconds: float):
     return by_time.rangeBetween(Window.unboundedPreceding, -(micros(seconds) + 1))
 
 
-def _counts(cut: DataFrame, rules: Rules) -> DataFrame:
+def _counts(cut: DataFrame, group: list[str], rules: Rules) -> DataFrame:
     """Window sizes, velocity and side counts (growing frames only)."""
-    by_rank, by_time = _frames()
+    by_rank = Window.partitionBy(*group).orderBy(*ORDER)
+    by_time = Window.partitionBy(*group).orderBy("event_us")
     cap = rules.window.max_trades
     is_buy = F.when(F.col("side") == "buy", 1).otherwise(0)
     one = F.lit(1)
@@ -131,7 +126,7 @@ def _wash_matches(chunk, rules: Rules):
     return ids.take(pa.array(found, mask=found < 0))
 
 
-def _statistics(counted: DataFrame, rules: Rules, wanted: Iterable[str]) -> DataFrame:
+def _statistics(counted: DataFrame, group: list[str], rules: Rules, wanted: Iterable[str]) -> DataFrame:
     """Statistics and wash matches over the exact window, one bounded chunk per call."""
     wanted = tuple(name for name in STATISTICS if name in set(wanted))
     if not wanted:
@@ -155,7 +150,7 @@ def _statistics(counted: DataFrame, rules: Rules, wanted: Iterable[str]) -> Data
     types = {"matched_trade_id": T.StringType()}
     added = [T.StructField(name, types.get(name, T.DoubleType())) for name in wanted]
     schema = T.StructType([*counted.schema.fields, *added])
-    return counted.groupBy("symbol", CHUNK).applyInArrow(arrow_columns(compute, "_rn"), schema)
+    return counted.groupBy(*group).applyInArrow(arrow_columns(compute, "_rn"), schema)
 
 
 def engine_windows(
@@ -170,10 +165,10 @@ def engine_windows(
     pruned by the optimizer when nobody selects them.
     """
     rules = rules or Rules()
-    cut, _ = split_by_rank(tape, ["symbol"], ORDER, halo=rules.window.max_trades, rows_per_task=rows_per_task)
-    counted = _counts(cut, rules)
+    cut, group, _ = split_by_rank(tape, ["symbol"], ORDER, halo=rules.window.max_trades, rows_per_task=rows_per_task)
+    counted = _counts(cut, group, rules)
     scratch = ["_lag_price", "_buys", "_buys_cap", "_old_window", "_old_velocity", "_old_sides", "_buys_old"]
-    return own_rows(_statistics(counted.drop(*scratch), rules, statistics)).drop("_rn")
+    return own_rows(_statistics(counted.drop(*scratch), group, rules, statistics)).drop("_rn")
 
 
 def isolation_features(tape: DataFrame, rules: Rules | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -94,14 +95,22 @@ def rank_within(
     return _ranked_by_range(df, keys, order)
 
 
+class Split(NamedTuple):
+    """Rows with ``_chunk`` and ``_halo``, and the columns that bound a window or a pandas group."""
+
+    frame: DataFrame
+    group: list[str]
+    was_cut: bool
+
+
 def split_by_rank(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     halo: int,
     rows_per_task: int = ROWS_PER_TASK,
-) -> tuple[DataFrame, bool]:
-    """Add ``_chunk`` and ``_halo``; returns the frame and whether it had to be cut.
+) -> Split:
+    """Cut groups larger than ``rows_per_task``; leave the frame as it is if there are none.
 
     Rows with ``_halo`` are copies that only feed the windows of their chunk
     and have to be filtered out of the result.
@@ -109,15 +118,17 @@ def split_by_rank(
     if rows_per_task < max(halo, 1):
         raise ValueError("rows_per_task must be at least the halo")
     if largest_group(df, keys) <= rows_per_task:
-        return df.withColumns({CHUNK: F.lit(0).cast("long"), HALO: F.lit(False)}), False
+        # grouping by the constant as well would cost a second sort: the planner folds it out of the window's order
+        return Split(df.withColumns({CHUNK: F.lit(0).cast("long"), HALO: F.lit(False)}), list(keys) or [CHUNK], False)
+    group = [*keys, CHUNK]
     own = F.floor(F.col(POS) / F.lit(rows_per_task)).cast("long")
     ranked = _ranked_by_range(df, keys, order).withColumn("_own", own)
     if halo == 0:
-        return ranked.withColumnsRenamed({"_own": CHUNK}).withColumn(HALO, F.lit(False)).drop(POS), True
+        return Split(ranked.withColumnsRenamed({"_own": CHUNK}).withColumn(HALO, F.lit(False)).drop(POS), group, True)
     near_end = F.col(POS) % rows_per_task >= rows_per_task - halo
     homes = F.when(near_end, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
     cut = ranked.withColumn(CHUNK, F.explode(homes)).withColumn(HALO, F.col(CHUNK) != F.col("_own"))
-    return cut.drop("_own", POS), True
+    return Split(cut.drop("_own", POS), group, True)
 
 
 def running_sums(
@@ -129,9 +140,9 @@ def running_sums(
     ``rows_per_task=None`` states that the frame has a fixed size bound.
     """
     if rows_per_task is None:
-        cut, was_cut = df.withColumn(CHUNK, F.lit(0).cast("long")).withColumn(HALO, F.lit(False)), False
+        cut, was_cut = df.withColumns({CHUNK: F.lit(0).cast("long"), HALO: F.lit(False)}), False
     else:
-        cut, was_cut = split_by_rank(df, [], order, halo=0, rows_per_task=rows_per_task)
+        cut, _, was_cut = split_by_rank(df, [], order, halo=0, rows_per_task=rows_per_task)
     upto = Window.partitionBy(CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = cut.withColumns({name: F.sum(value).over(upto) for name, value in sums.items()})
     if was_cut:

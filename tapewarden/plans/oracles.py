@@ -543,3 +543,19 @@ ORACLES["lake_partitions"] = (
 )
 ORACLES["stream_window_verdicts"] = ORACLES["sliding_window_flags"]
 ORACLES["stream_engine_alerts"] = ORACLES["cooldown_alerts"]
+
+# a fold over the hits of a client; the first hit is its own start state
+ORACLES["admission_control"] = (
+    _with(
+        TAPE,
+        """hits as (select account_id as client, list(event_us order by event_us, trade_id) as us from tape group by 1),
+        start as (select client, len(us) as hits,
+                    list_transform(us, lambda t: {'us': t, 'held': [t], 'acc': 1, 'chk': t % 1000003}) as xs from hits),
+        fold as (select client, hits, list_reduce(xs, lambda s, x:
+            case when len(list_filter(s.held, lambda h: h >= x.us - 60000000)) < 100
+              then {'us': x.us, 'held': list_append(list_filter(s.held, lambda h: h >= x.us - 60000000), x.us),
+                    'acc': s.acc + 1, 'chk': s.chk + x.chk}
+              else {'us': x.us, 'held': s.held, 'acc': s.acc, 'chk': s.chk} end) as r from start)""",
+    )
+    + "select client, hits, cast(r.acc as bigint) as accepted, cast(r.chk as bigint) as \"check\" from fold"
+)

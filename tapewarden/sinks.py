@@ -29,6 +29,14 @@ def write_partitioned(df: DataFrame, path: str, fmt: str = "parquet", sort_by: t
         .format(fmt)
         .save(path)
     )
+    # a dynamic overwrite leaves no marker of its own
+    _hadoop_file(df.sparkSession, path, "_SUCCESS", lambda fs, marker: fs.create(marker, True).close())
+
+
+def _hadoop_file(spark: SparkSession, path: str, name: str, use: Callable):
+    """Apply ``use(file system, file)``; works on any Hadoop file system."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name)
+    return use(file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), file)
 
 
 def curated(tape: DataFrame) -> DataFrame:
@@ -94,7 +102,7 @@ def console_lines(alerts: DataFrame) -> DataFrame:
     return alerts.select(console_line().alias("line"))
 
 
-def record_run(spark: SparkSession, path: str, **values: object) -> None:
+def record_run(spark: SparkSession, path: str, /, **values: object) -> None:
     """Append one row to the job-run log."""
     row = {"epoch": int(time.time()), **values}
     spark.createDataFrame([tuple(row.get(f) for f in JOB_RUN.fieldNames())], JOB_RUN).coalesce(1).write.mode(
@@ -126,13 +134,8 @@ def quality_checks(anomalies: DataFrame) -> DataFrame:
 
 
 def has_success_marker(spark: SparkSession, path: str) -> bool:
-    """Whether a finished write left its ``_SUCCESS`` file, on any Hadoop file system."""
-    marker = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS")
-    try:
-        # names starting with "_" are hidden from a directory listing, so ask for the file itself
-        return marker.load(f"{path}/_SUCCESS").select("path").count() == 1
-    except Exception:  # noqa: BLE001 - a missing path surfaces as several exception types
-        return False
+    """Whether a finished write left its ``_SUCCESS`` file."""
+    return _hadoop_file(spark, path, "_SUCCESS", lambda fs, marker: fs.exists(marker))
 
 
 def quality_gate(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
