@@ -169,6 +169,7 @@ def nearest_rank_stats(values: DataFrame, rows_per_task: int | None = None) -> D
     """
     counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     total = values.agg(F.count(F.lit(1)).alias("_total"), F.max("value").alias("_max"), F.avg("value").alias("_mean"))
+    # total is a single row
     placed = running_sums(counts, ["value"], {"_upto": F.col("n")}, rows_per_task).join(F.broadcast(total))
     at = lambda p: F.least(F.col("_total") - 1, F.floor(F.col("_total") * F.lit(p)))
     pick = lambda p: F.round(F.min(F.when(F.col("_upto") > at(p), F.col("value"))), 1)

@@ -49,6 +49,7 @@ def curve_points(rows: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFra
         .agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
     )
     totals = rows.agg(F.count_if(F.col("y") == 1).alias("_p"), F.count_if(F.col("y") != 1).alias("_n"))
+    # totals is a single row
     placed = running_sums(steps, ["_down"], {"tp": F.col("pos"), "fp": F.col("neg")}, rows_per_task)
     return placed.join(F.broadcast(totals)).select(
         (-F.col("_down")).alias("threshold"),

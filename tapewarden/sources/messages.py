@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import TRADE
 
+# numbers may come as JSON numbers or as numeric strings, so they are read as text and cast
+_NUMBERS = ("price", "quantity")
+_WIRE = T.StructType([T.StructField(f.name, T.StringType()) if f.name in _NUMBERS else f for f in TRADE.fields])
+
 
 def valid_trade() -> Column:
     """Required fields, positive numbers, a known side. Null-safe: missing values are invalid.
@@ -28,8 +33,9 @@ def valid_trade() -> Column:
 def decode_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     """JSON messages (text or bytes) to typed trade columns, plus the raw text and ``valid``."""
     raw = F.col(value).cast("string")
-    parsed = messages.withColumn("raw", raw).withColumn("_trade", F.from_json("raw", TRADE))
-    return parsed.select("raw", "_trade.*").withColumn("valid", valid_trade())
+    parsed = messages.withColumn("raw", raw).withColumn("_trade", F.from_json("raw", _WIRE)).select("raw", "_trade.*")
+    typed = parsed.withColumns({name: F.col(name).try_cast("double") for name in _NUMBERS})
+    return typed.withColumn("valid", valid_trade())
 
 
 def decode_trades(messages: DataFrame, value: str = "value") -> DataFrame:

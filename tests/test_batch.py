@@ -74,9 +74,12 @@ def test_decode_and_rejects(spark):
     ]
     raw = spark.createDataFrame([(t.encode(),) for t in texts], "value binary")
     good = normalise(decode_trades(raw)).orderBy("trade_id").collect()
-    assert [(r["trade_id"], r["symbol"], r["side"], r["currency"]) for r in good] == [
-        ("f", "X", "buy", "USD"),
-    ] or [(r["trade_id"], r["symbol"]) for r in good] == [("a", "AAPL"), ("f", "X")]
+    assert [(r["trade_id"], r["symbol"], r["price"], r["side"], r["currency"]) for r in good] == [
+        ("a", "AAPL", 10.0, "sell", "USD"),
+        ("f", "X", 1.5, "buy", "USD"),
+    ]
+    assert good[0]["event_us"] % 1_000_000 == 123456
+    assert good[1]["event_us"] is not None
     assert rejected_messages(raw).count() == len(texts) - len(good)
 
 
