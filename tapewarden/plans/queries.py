@@ -181,7 +181,8 @@ def batch_velocity_counts(spark, sf_dir):
 
 
 def _batch_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.batch_flags(B.batch_features(lineitem_tape(spark, sf_dir)))
+    tape = lineitem_tape(spark, sf_dir).select("trade_id", "event_us", "symbol", "price", "quantity", "label")
+    return B.batch_flags(B.batch_features(tape))
 
 
 @query
