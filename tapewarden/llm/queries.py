@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tapewarden.llm.lines import deduplicate_lines
 from tapewarden.llm.setsketch import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,10 +17,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+with lines as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+           unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as line_no
+    from documents
+), keyed as (
+    select doc_id, line_no, line,
+           translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+    from lines
+), often as (
+    select key, max(doc_id) as last_doc from keyed where length(key) >= 20
+    group by key having count(distinct doc_id) >= 3
+), marked as (
+    select k.doc_id, k.line_no, k.line, coalesce(k.doc_id <> o.last_doc, false) as gone
+    from keyed k left join often o on k.key = o.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by line_no) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
 def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op7_setsketch": op7_setsketch}
+QUERIES: dict[str, Query] = {"op3_line_runs": op3_line_runs, "op7_setsketch": op7_setsketch}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_runs": OP3_SQL}
