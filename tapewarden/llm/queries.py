@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewarden.llm.lines import deduplicate_lines
+from tapewarden.llm.mixing import mixed_documents
 from tapewarden.llm.setsketch import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,10 +46,55 @@ from marked group by doc_id
 """
 
 
+def op6_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixed_documents(_table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = r"""
+with sized as (
+    select doc_id, source, md5(text) as content,
+           case when length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) = 0 then 0
+                else len(string_split_regex(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+                                            '[\x20\x09-\x0D]+')) end as size
+    from documents
+), sources as (
+    select source, sum(size)::bigint as source_size,
+           [3.0, 1.0, 2.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as weight
+    from sized group by source
+), filling as (
+    select *, 2.0::double * source_size as cap,
+           (1.5::double * sum(source_size) over () - coalesce(sum(2.0::double * source_size) over before, 0))
+           / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level,
+           row_number() over (order by 2.0::double * source_size / weight, source nulls last) as nth
+    from sources
+    window before as (order by 2.0::double * source_size / weight, source nulls last
+                      rows between unbounded preceding and 1 preceding)
+), full_ones as (
+    select *, bool_and(level * weight >= cap) over (order by nth) as is_full from filling
+), targets as (
+    select source, source_size,
+           case when is_full then cap
+                else (1.5::double * sum(source_size) over () - coalesce(sum(cap) filter (where is_full) over (), 0))
+                     * weight / sum(weight) filter (where not is_full) over () end as target
+    from full_ones
+), passes as (
+    select s.*, t.source_size, t.target, p.pass,
+           md5(concat_ws(':', 17, p.pass, s.doc_id, s.content)) as mixed
+    from sized s join targets t on s.source is not distinct from t.source, (values (0), (1)) p(pass)
+), placed as (
+    select *, sum(size) over (partition by source order by pass, mixed) - size as begins from passes
+)
+select doc_id, any_value(size)::bigint as size, any_value(source_size) as source_size, any_value(target) as target,
+       sum(greatest(0, least(begins + size, floor(target)::bigint) - begins))::bigint as taken
+from placed group by doc_id
+"""
+
+
 def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op3_line_runs": op3_line_runs, "op7_setsketch": op7_setsketch}
+QUERIES: dict[str, Query] = {"op3_line_runs": op3_line_runs, "op6_source_schedule": op6_source_schedule, "op7_setsketch": op7_setsketch}
 
-ORACLES: dict[str, str] = {"op3_line_runs": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_line_runs": OP3_SQL, "op6_source_schedule": OP6_SQL}
