@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewarden.llm.decontamination import contaminated
 from tapewarden.llm.lines import deduplicate_lines
 from tapewarden.llm.mixing import mixed_documents
 from tapewarden.llm.setsketch import near_duplicates
@@ -95,6 +96,36 @@ def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op3_line_runs": op3_line_runs, "op6_source_schedule": op6_source_schedule, "op7_setsketch": op7_setsketch}
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: Alignments by a shared run of four words: a window of 13 with two differing words always has one.
+OP9_SQL = r"""
+with doc_words as materialized (
+    select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') as w from documents
+), item_words as materialized (
+    select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') as w from benchmark
+), doc_grams as (
+    select doc_id, i, hash(w[i:i + 3]) as gram from doc_words, unnest(range(1, len(w) - 2)) t(i) where len(w) >= 13
+), item_grams as (
+    select item_id, i, hash(w[i:i + 3]) as gram from item_words, unnest(range(1, len(w) - 2)) t(i) where len(w) >= 13
+), aligned as (
+    select distinct doc_id, item_id, d.i - b.i as shift from doc_grams d join item_grams b using (gram)
+), equal as (
+    select a.doc_id, a.item_id, a.shift, greatest(1, 1 - a.shift) as first,
+           list_transform(range(greatest(1, 1 - a.shift), least(len(b.w), len(d.w) - a.shift) + 1),
+                          lambda k: (b.w[k] = d.w[k + a.shift])::int) as e
+    from aligned a join doc_words d using (doc_id) join item_words b using (item_id)
+), windows as (
+    select doc_id, item_id, first + shift - 1 + t.i - 1 as spot, list_sum(e[t.i:t.i + 12]) as n
+    from equal, unnest(range(1, len(e) - 11)) t(i) where len(e) >= 13
+)
+select doc_id, item_id, min(spot)::bigint as first_word, max(spot + 12)::bigint as last_word, max(n)::bigint as n_matched
+from windows where n >= 11 group by doc_id, item_id
+"""
+
+
+QUERIES: dict[str, Query] = {"op3_line_runs": op3_line_runs, "op6_source_schedule": op6_source_schedule, "op7_setsketch": op7_setsketch, "op9_spaced_seeds": op9_spaced_seeds}
 
-ORACLES: dict[str, str] = {"op3_line_runs": OP3_SQL, "op6_source_schedule": OP6_SQL}
+ORACLES: dict[str, str] = {"op3_line_runs": OP3_SQL, "op6_source_schedule": OP6_SQL, "op9_spaced_seeds": OP9_SQL}
