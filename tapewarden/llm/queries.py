@@ -11,6 +11,7 @@ from tapewarden.llm.decontamination import contaminated
 from tapewarden.llm.lines import deduplicate_lines
 from tapewarden.llm.mixing import mixed_documents
 from tapewarden.llm.repeats import remove_repeats
+from tapewarden.llm.resampling import importance_resample
 from tapewarden.llm.setsketch import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,10 @@ def op4_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixed_documents(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -131,6 +136,6 @@ from windows where n >= 11 group by doc_id, item_id
 """
 
 
-QUERIES: dict[str, Query] = {"op3_line_runs": op3_line_runs, "op4_radix_repeats": op4_radix_repeats, "op6_source_schedule": op6_source_schedule, "op7_setsketch": op7_setsketch, "op9_spaced_seeds": op9_spaced_seeds}
+QUERIES: dict[str, Query] = {"op3_line_runs": op3_line_runs, "op4_radix_repeats": op4_radix_repeats, "op5_importance_resampling": op5_importance_resampling, "op6_source_schedule": op6_source_schedule, "op7_setsketch": op7_setsketch, "op9_spaced_seeds": op9_spaced_seeds}
 
 ORACLES: dict[str, str] = {"op3_line_runs": OP3_SQL, "op6_source_schedule": OP6_SQL, "op9_spaced_seeds": OP9_SQL}

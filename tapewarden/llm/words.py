@@ -18,6 +18,8 @@ ROUND_BYTES = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_IS_SIGN = np.zeros(256, dtype=bool)
+_IS_SIGN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE_VALUE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)[_LOWER]
@@ -70,32 +72,50 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Words(NamedTuple):
-    """Hash of each word, and where the words of row i begin (``rows[i]`` to ``rows[i + 1]``)."""
+    """Hash of each word, where the words of row i begin (``rows[i]`` to ``rows[i + 1]``), and the words' first bytes."""
 
     hashes: np.ndarray
     rows: np.ndarray
+    starts: np.ndarray
 
 
-def words(texts: Texts) -> Words:
+def words(texts: Texts, split_punctuation: bool = False) -> Words:
+    """The words of each row; with ``split_punctuation`` runs of ASCII punctuation are words of their own."""
     data, bounds = texts.data, texts.bounds
     n = len(data)
     if not n:
-        return Words(np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64))
+        return Words(np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), np.zeros(0, np.int64))
     space = _IS_SPACE[data]
     begins = ~space
-    begins[1:] &= space[:-1]
+    if split_punctuation:
+        sign = _IS_SIGN[data]
+        begins[1:] &= space[:-1] | (sign[1:] != sign[:-1])
+    else:
+        begins[1:] &= space[:-1]
     heads = bounds[:-1][bounds[:-1] < n]
     begins[heads] = ~space[heads]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return Words(np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64))
+        return Words(np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), np.zeros(0, np.int64))
     sums = np.add.reduceat(_BYTE_VALUE[data] * powers(_STEP, n), starts)
-    return Words(mixed(sums * powers(_BACK, n)[starts]), np.searchsorted(starts, bounds))
+    return Words(mixed(sums * powers(_BACK, n)[starts]), np.searchsorted(starts, bounds), starts)
+
+
+def word_beginnings(texts: Texts, found: Words, length: int) -> np.ndarray:
+    """Hash of the first ``length`` bytes of each word, A-Z lower-cased, or of the whole of a shorter word."""
+    data = np.concatenate([texts.data, np.full(length, 32, np.uint8)])
+    out = np.zeros(len(found.starts), dtype=np.uint64)
+    inside = np.ones(len(found.starts), dtype=bool)
+    for k in range(length):
+        byte = data[found.starts + k]
+        inside &= ~_IS_SPACE[byte]
+        out += np.where(inside, _BYTE_VALUE[byte], np.uint64(0)) * _PLACE[k]
+    return mixed(out)
 
 
 def shingles(found: Words, width: int = 5) -> list[np.ndarray]:
     """The distinct ``width``-word shingles of each row, sorted; a shorter text is one shingle, an empty one none."""
-    hashes, rows = found
+    hashes, rows, _ = found
     n = len(hashes)
     joined = np.zeros(max(n - width + 1, 0), dtype=np.uint64)
     for k in range(width):
