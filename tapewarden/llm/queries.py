@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapewarden.llm.decontamination import contaminated
 from tapewarden.llm.lines import deduplicate_lines
 from tapewarden.llm.mixing import mixed_documents
+from tapewarden.llm.personal import personal_data
 from tapewarden.llm.repeats import remove_repeats
 from tapewarden.llm.resampling import importance_resample
 from tapewarden.llm.setsketch import near_duplicates
@@ -136,6 +137,10 @@ from windows where n >= 11 group by doc_id, item_id
 """
 
 
-QUERIES: dict[str, Query] = {"op3_line_runs": op3_line_runs, "op4_radix_repeats": op4_radix_repeats, "op5_importance_resampling": op5_importance_resampling, "op6_source_schedule": op6_source_schedule, "op7_setsketch": op7_setsketch, "op9_spaced_seeds": op9_spaced_seeds}
+def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"op3_line_runs": op3_line_runs, "op4_radix_repeats": op4_radix_repeats, "op5_importance_resampling": op5_importance_resampling, "op6_source_schedule": op6_source_schedule, "op7_setsketch": op7_setsketch, "op9_spaced_seeds": op9_spaced_seeds, "op10_weak_supervision": op10_weak_supervision}
 
 ORACLES: dict[str, str] = {"op3_line_runs": OP3_SQL, "op6_source_schedule": OP6_SQL, "op9_spaced_seeds": OP9_SQL}
