@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapewarden.llm.decontamination import contaminated
 from tapewarden.llm.lines import deduplicate_lines
 from tapewarden.llm.mixing import mixed_documents
+from tapewarden.llm.neighbours import nearest_neighbours
 from tapewarden.llm.personal import personal_data
 from tapewarden.llm.repeats import remove_repeats
 from tapewarden.llm.resampling import importance_resample
@@ -107,6 +108,10 @@ def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -141,6 +146,6 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op3_line_runs": op3_line_runs, "op4_radix_repeats": op4_radix_repeats, "op5_importance_resampling": op5_importance_resampling, "op6_source_schedule": op6_source_schedule, "op7_setsketch": op7_setsketch, "op9_spaced_seeds": op9_spaced_seeds, "op10_weak_supervision": op10_weak_supervision}
+QUERIES: dict[str, Query] = {"op3_line_runs": op3_line_runs, "op4_radix_repeats": op4_radix_repeats, "op5_importance_resampling": op5_importance_resampling, "op6_source_schedule": op6_source_schedule, "op7_setsketch": op7_setsketch, "op8_cross_polytope": op8_cross_polytope, "op9_spaced_seeds": op9_spaced_seeds, "op10_weak_supervision": op10_weak_supervision}
 
 ORACLES: dict[str, str] = {"op3_line_runs": OP3_SQL, "op6_source_schedule": OP6_SQL, "op9_spaced_seeds": OP9_SQL}
