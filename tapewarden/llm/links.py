@@ -1,17 +1,17 @@
-"""Exact similarity links from colliding band keys, without writing out the pairs of a group.
+"""Exact similarity links from colliding band keys, without emitting the pairs of a group.
 
-1. Every bucket (a band key with two members or more) makes a star around its
-   smallest member. Star pairs that the sketches allow are confirmed on full sets.
-2. Confirmed links are merged to components. In buckets whose members lie in
-   several components, the pairs *across* components are compared by sketch, in
-   blocks of bounded size; the best partner in each foreign component is confirmed
-   first, the others only if that did not merge the two.
+1. Every bucket (a band key with two members or more) makes a star around one of its
+   members. Star pairs that the sketches allow are confirmed on full sets, and
+   confirmed links are merged to components. This is done a few times with other
+   middles, in buckets whose members still lie in several components.
+2. What is left are pairs *across* components. They are compared in blocks of bounded
+   size, by sketch and then by full set, and only links leave the task.
 
 A pair that already is connected never needs its own check, so a bucket of n near
 copies costs about n confirmations; and a pair that is not connected is never
 skipped unless its sketches rule it out. Buckets are counted by partial
-aggregation and joined (adaptive execution splits hot join keys); blocks keep any
-task's share of a bucket below ``2 * BLOCK`` rows.
+aggregation and joined (adaptive execution splits hot join keys); blocks bound what
+a task holds of a bucket.
 """
 
 from __future__ import annotations
@@ -23,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapewarden.llm.cells import groups
 from tapewarden.llm.graph import components
 from tapewarden.llm.scratch import written
 
-BLOCK = 512
+#: Members, and elements of their sets, that a block of a bucket holds about at most.
+BLOCK, BLOCK_ELEMENTS = 512, 1_000_000
+#: Rounds of stars before the pairs across components are looked at.
+STARS = 3
 
 #: (sizes a, sketches a, sizes b, sketches b) -> estimated similarity of each row pair
 Estimate = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -56,137 +60,128 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, estimate: Estimate, floor:
     return both.mapInArrow(judge, "a long, b long, likeness double")
 
 
+def _overlap(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sets of sorted hashes have ``100 * intersection >= percent * union``."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with ``100 * intersection >= percent * union`` on full sets, and both counts."""
+    """The pairs with ``100 * intersection >= percent * union`` on full sets."""
     side = {x: sets.select(F.col("id").alias(x), F.col("members").alias(f"m_{x}")) for x in "ab"}
     both = pairs.select("a", "b").join(side["a"], "a").join(side["b"], "b").select("a", "b", "m_a", "m_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for a, b, x, y in zip(*(batch[k].to_pylist() for k in ("a", "b", "m_a", "m_b")), strict=True):
-                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    rows.append((a, b, common, len(x) + len(y) - common))
-            columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "common", "joint"])
-
-    return both.mapInArrow(compare, "a long, b long, common long, joint long")
-
-
-def _across(members: DataFrame, sketches: DataFrame, estimate: Estimate, floor: float) -> DataFrame:
-    """Pairs of a bucket in different components whose sketches allow a link; ``members(key, id, component)``."""
-    counted = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
+            sides = (batch["m_a"].to_pylist(), batch["m_b"].to_pylist())
+            linked = [_overlap(x, y, percent) for x, y in zip(*sides, strict=True)]
+            found = pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"])
+            yield found.filter(pa.array(linked, pa.bool_()))
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Keys of the buckets whose members lie in several components, with counts."""
+    counted = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    mixed = counted.filter("low <> high").select("key", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = members.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    return counted.filter("low <> high").drop("low", "high")
+
+
+def _across(rows: DataFrame, sketches: DataFrame, sets: DataFrame, estimate: Estimate, floor: float, percent: int, band_rows: int) -> DataFrame:
+    """Links between components, from ``rows(key, band, id, n, component)``: every pair of a bucket is considered.
+
+    Members meet in cells, pairs of blocks of a bucket. A pair is looked at in the
+    first band in which the two collide; once two components are linked in a cell,
+    their other pairs there are passed over.
+    """
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    placed = rows.join(_mixed(rows).select("key", blocks.alias("blocks")), "key")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     # a row goes to each pair of blocks that holds its own
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = placed.withColumn("other", F.explode(others)).select(
-        "key", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", "band", "id", "n", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
-    cells = cells.join(sketches.select("id", "n", "sketch"), "id").repartition("key", "i", "j")
+    cells = cells.join(sketches.select("id", "sketch"), "id").join(sets, "id").repartition("key", "i", "j")
     cells = cells.sortWithinPartitions("key", "i", "j", "id")
+    flat = ("key", "i", "j", "band", "id", "component", "own", "n")
 
-    def one(key: np.ndarray, cell: dict[str, np.ndarray]) -> list[tuple[np.ndarray, ...]]:
-        ids, component, own, n, sketch = (cell[k] for k in ("id", "component", "own", "n", "sketch"))
+    def one(cell: dict[str, np.ndarray], sketch: np.ndarray, members: pa.ChunkedArray) -> list[tuple[int, int]]:
+        ids, own, n, band = cell["id"], cell["own"], cell["n"], int(cell["band"][0])
+        two_blocks = cell["i"][0] != cell["j"][0]
+        component = cell["component"].copy()
         out = []
         for row in range(len(ids) - 1):
-            rest = slice(row + 1, None)
-            pick = np.flatnonzero(component[rest] != component[row]) + row + 1
-            if key[1] != key[2]:
+            pick = np.arange(row + 1, len(ids))
+            pick = pick[component[pick] != component[row]]
+            if two_blocks:
                 pick = pick[own[pick] != own[row]]
             if not len(pick):
                 continue
-            likeness = estimate(
-                np.full(len(pick), n[row]), np.broadcast_to(sketch[row], (len(pick), sketch.shape[1])), n[pick], sketch[pick]
-            )
-            good = likeness >= floor
-            pick, likeness = pick[good], likeness[good]
-            first = ids[row] < ids[pick]
-            a = np.where(first, ids[row], ids[pick])
-            b = np.where(first, ids[pick], ids[row])
-            ca = np.where(first, component[row], component[pick])
-            cb = np.where(first, component[pick], component[row])
-            out.append((a, b, ca, cb, likeness))
+            equal = sketch[pick] == sketch[row]
+            # far fewer equal registers than any link has: no need to estimate
+            pick, equal = (x[equal.mean(axis=1) >= floor - 0.1] for x in (pick, equal))
+            met = equal.reshape(len(pick), sketch.shape[1] // band_rows, band_rows).all(axis=2).argmax(axis=1)
+            pick = pick[met == band]
+            if not len(pick):
+                continue
+            likeness = estimate(np.full(len(pick), n[row]), np.broadcast_to(sketch[row], (len(pick), sketch.shape[1])), n[pick], sketch[pick])
+            for other in pick[np.argsort(-likeness)][: int((likeness >= floor).sum())]:
+                if component[other] != component[row] and _overlap(members[row].as_py(), members[int(other)].as_py(), percent):
+                    out.append((int(min(ids[row], ids[other])), int(max(ids[row], ids[other]))))
+                    component[component == component[other]] = component[row]
         return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: pa.Table | None = None
-        names, kinds = ["a", "b", "component_a", "component_b", "likeness"], [pa.int64()] * 4 + [pa.float64()]
-
-        def judged(table: pa.Table) -> pa.RecordBatch:
-            flat = {k: table[k].to_numpy() for k in ("key", "i", "j", "id", "component", "own", "n")}
-            sketch = _stacked(table["sketch"], "<u2")
-            cell = np.stack([flat["key"], flat["i"], flat["j"]], axis=1)
-            edges = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
-            out = []
-            for a, b in zip([0, *edges], [*edges, len(cell)], strict=True):
-                if b - a > 1:
-                    part = {k: v[a:b] for k, v in flat.items()} | {"sketch": sketch[a:b]}
-                    out += one(cell[a], part)
-            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, kinds, strict=True)], names)
+        for cell in groups(batches, ("key", "i", "j")):
+            if len(cell) > 1:
+                found = one({k: cell[k].to_numpy() for k in flat}, _stacked(cell["sketch"], "<u2"), cell["members"])
+                pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            waiting = table if waiting is None else pa.concat_tables([waiting, table])
-            if not len(waiting):
-                continue
-            key = [waiting[k].to_numpy() for k in ("key", "i", "j")]
-            same = np.logical_and.reduce([k == k[-1] for k in key])
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut:
-                yield judged(waiting.slice(0, cut))
-                waiting = waiting.slice(cut)
-        if waiting is not None and len(waiting):
-            yield judged(waiting)
-
-    found = cells.mapInArrow(compare, "a long, b long, component_a long, component_b long, likeness double")
-    return found.groupBy("a", "b").agg(
-        *[F.first(c).alias(c) for c in ("component_a", "component_b", "likeness")]  # the same in every bucket
-    )
+    return cells.select(*flat, "sketch", "members").mapInArrow(compare, "a long, b long").distinct()
 
 
 def link_components(
-    sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], estimate: Estimate, floor: float, percent: int
+    sketches: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    estimate: Estimate,
+    floor: float,
+    percent: int,
+    band_rows: int,
 ) -> DataFrame:
     """``(node, component)`` of all linked rows of a written table ``sketches(id, n, sketch, keys)``.
 
+    ``keys`` are the hashes of consecutive stretches of ``band_rows`` sketch values.
     ``sets_of(ids)`` returns ``(id, members)``, the full sets as sorted 64-bit hashes.
     """
-    colliding = sketches.select("id", F.explode("keys").alias("key"))
-    buckets = colliding.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size"))
-    crowd = written(colliding.join(buckets.filter("size > 1").drop("size"), "key"), "crowd")
+    colliding = sketches.select("id", "n", F.posexplode("keys").alias("band", "key"))
+    buckets = colliding.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = written(buckets.select("key"), "buckets")
+    crowd = written(colliding.join(buckets, "key"), "crowd")
     sets = written(sets_of(crowd.select("id").distinct()), "sets")
-    stars = crowd.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(confirmed(_estimated(stars, sketches, estimate, floor), sets, percent), "links")
-
-    labels = components(links)
-
-    def labelled(rows: DataFrame, column: str, name: str) -> DataFrame:
-        of = labels.select(F.col("node").alias(column), F.col("component").alias(name))
-        return rows.join(of, column, "left").withColumn(name, F.coalesce(name, column))
-
-    # the hub has met every member already
-    open_rows = labelled(crowd.filter("id <> hub").select("key", "id"), "id", "component")
-    rest = written(_across(open_rows, sketches, estimate, floor), "across")
-    if rest.isEmpty():
-        return labels
-    nearest = rest.groupBy("b", "component_a").agg(F.max_by("a", "likeness").alias("a")).select("a", "b")
-    nearest = nearest.unionByName(
-        rest.groupBy("a", "component_b").agg(F.max_by("b", "likeness").alias("b")).select("a", "b")
-    ).distinct()
-    first = written(confirmed(nearest, sets, percent), "links")
-    if not first.isEmpty():
-        links = links.unionByName(first)
+    labels, links = None, None
+    for turn in range(STARS):
+        rows = crowd if labels is None else crowd.join(
+            labels.select(F.col("node").alias("id"), F.col("component").alias("known")), "id", "left"
+        )
+        component = F.col("id") if labels is None else F.coalesce("known", "id")
+        rows = rows.withColumn("component", component).select("key", "band", "id", "n", "component")
+        if turn:
+            rows = written(rows, "crowd")
+            if _mixed(rows).isEmpty():
+                return labels
+        order = F.col("id") if not turn else F.xxhash64("id", F.lit(turn))
+        hubs = rows.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("component").alias("of")), order).alias("h"))
+        stars = rows.join(hubs.select("key", "h.hub", "h.of"), "key").filter("component <> of")
+        stars = stars.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+        found = written(confirmed(_estimated(stars, sketches, estimate, floor), sets, percent).select("a", "b"), "links")
+        links = found if links is None else links.unionByName(found)
         labels = components(links)
-    open_pairs = rest.select("a", "b").join(nearest, ["a", "b"], "left_anti")
-    open_pairs = labelled(labelled(open_pairs, "a", "component_a"), "b", "component_b").filter("component_a <> component_b")
-    last = written(confirmed(open_pairs, sets, percent), "links")
+    rows = crowd.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    last = written(_across(rows, sketches, sets, estimate, floor, percent, band_rows), "links")
     return labels if last.isEmpty() else components(links.unionByName(last))

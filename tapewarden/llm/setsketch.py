@@ -185,6 +185,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
         estimated_similarity,
         float(floor),
         percent,
+        ROWS,
     )
     placed = names.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
