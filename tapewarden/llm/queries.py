@@ -11,7 +11,9 @@ from tapewarden.llm.decontamination import contaminated
 from tapewarden.llm.lines import deduplicate_lines
 from tapewarden.llm.mixing import mixed_documents
 from tapewarden.llm.neighbours import nearest_neighbours
+from tapewarden.llm.paragraphs import duplicate_paragraphs
 from tapewarden.llm.personal import personal_data
+from tapewarden.llm.preference import format_preferences, stale_answer_pairs
 from tapewarden.llm.repeats import remove_repeats
 from tapewarden.llm.resampling import importance_resample
 from tapewarden.llm.setsketch import near_duplicates
@@ -23,6 +25,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = format_preferences(stale_answer_pairs(_table(spark, sf_dir, "conversations")))
+    listed = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",") for c in ("chosen_mask", "rejected_mask")}
+    return pairs.withColumns(listed).withColumnRenamed("pair_id", "conv_id")
+
+
+OP1_SQL = r"""
+with said as (
+    select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+    from conversations where conv_id is not null
+), numbered as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from said
+), answers as (
+    select *, lag(text) over (partition by conv_id order by i) as previous,
+           row_number() over (partition by conv_id order by i desc) as from_end
+    from numbered where role = 'assistant'
+), last_answer as (
+    select conv_id, i, text, coalesce(previous, '') as stale from answers where from_end = 1
+), prompts as (
+    select l.conv_id, coalesce(string_agg('<|' || n.role || '|>' || chr(10) || n.text || '<|end|>' || chr(10), '' order by n.i), '') as prompt,
+           count(n.i) as n_common
+    from last_answer l left join numbered n on n.conv_id = l.conv_id and n.i < l.i group by l.conv_id
+), pairs as (
+    select l.conv_id, l.text = l.stale as same, p.n_common, p.prompt,
+           '<|assistant|>' || chr(10) || l.text || '<|end|>' || chr(10) as good,
+           '<|assistant|>' || chr(10) || l.stale || '<|end|>' || chr(10) as bad
+    from last_answer l join prompts p using (conv_id)
+)
+select conv_id, n_common + same::int as n_common, prompt || case when same then good else '' end as prompt,
+       case when same then '' else good end as chosen, case when same then '' else bad end as rejected,
+       case when same then '' else '14:' || (length(good) - 1) end as chosen_mask,
+       case when same then '' else '14:' || (length(bad) - 1) end as rejected_mask
+from pairs
+"""
+
+
+def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -146,6 +188,6 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op3_line_runs": op3_line_runs, "op4_radix_repeats": op4_radix_repeats, "op5_importance_resampling": op5_importance_resampling, "op6_source_schedule": op6_source_schedule, "op7_setsketch": op7_setsketch, "op8_cross_polytope": op8_cross_polytope, "op9_spaced_seeds": op9_spaced_seeds, "op10_weak_supervision": op10_weak_supervision}
+QUERIES: dict[str, Query] = {"op1_preference": op1_preference, "op2_paragraph_minhash": op2_paragraph_minhash, "op3_line_runs": op3_line_runs, "op4_radix_repeats": op4_radix_repeats, "op5_importance_resampling": op5_importance_resampling, "op6_source_schedule": op6_source_schedule, "op7_setsketch": op7_setsketch, "op8_cross_polytope": op8_cross_polytope, "op9_spaced_seeds": op9_spaced_seeds, "op10_weak_supervision": op10_weak_supervision}
 
-ORACLES: dict[str, str] = {"op3_line_runs": OP3_SQL, "op6_source_schedule": OP6_SQL, "op9_spaced_seeds": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_preference": OP1_SQL, "op3_line_runs": OP3_SQL, "op6_source_schedule": OP6_SQL, "op9_spaced_seeds": OP9_SQL}
