@@ -14,33 +14,45 @@ import numpy as np
 _BLOCK = 4096
 
 
-def _windows(values: np.ndarray, size: np.ndarray, skip: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Blocks of ``(rows, matrix of trailing values, mask of the ones that count)``."""
-    widest = max(int(size.max(initial=0)), 1)
-    padded = np.concatenate([np.zeros(widest - 1 + skip), values])
-    view = np.lib.stride_tricks.sliding_window_view(padded, widest)[: len(values)]
-    column = np.arange(widest)
+def _windows(
+    values: np.ndarray, size: np.ndarray, skip: int, width: int
+) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Blocks of ``(rows, matrix of the trailing ``width`` values, mask of the ones that count)``.
+
+    The width is the caller's limit, not what this chunk happens to need: sums then
+    run in the same order wherever a tape was cut.
+    """
+    width = max(width, 1)
+    padded = np.concatenate([np.zeros(width - 1 + skip), values])
+    view = np.lib.stride_tricks.sliding_window_view(padded, width)[: len(values)]
+    column = np.arange(width)
     for start in range(0, len(values), _BLOCK):
         rows = slice(start, start + _BLOCK)
-        yield rows, view[rows], column >= (widest - size[rows])[:, None]
+        yield rows, view[rows], column >= (width - size[rows])[:, None]
 
 
-def moments(values: np.ndarray, size: np.ndarray, skip: int, ddof: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and standard deviation per row, in two passes; empty gives (0, 0), a single value deviation 0."""
+def moments(values: np.ndarray, size: np.ndarray, skip: int, ddof: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation per row, in two passes; empty gives (0, 0), a single value deviation 0.
+
+    Sums are taken of distances to the window's last value, so a flat window has
+    exactly its value as mean and deviation 0.
+    """
     mean, std = np.zeros(len(values)), np.zeros(len(values))
-    for rows, matrix, mask in _windows(values, size, skip):
+    for rows, matrix, mask in _windows(values, size, skip, width):
         n = size[rows]
-        centre = np.where(mask, matrix, 0.0).sum(axis=1) / np.maximum(n, 1)
-        gaps = np.where(mask, matrix - centre[:, None], 0.0)
-        mean[rows] = centre
-        std[rows] = np.where(n > 1, np.sqrt(np.einsum("ij,ij->i", gaps, gaps) / np.maximum(n - ddof, 1)), 0.0)
+        anchor = np.where(n > 0, matrix[:, -1], 0.0)
+        away = np.where(mask, matrix - anchor[:, None], 0.0)
+        centre = away.sum(axis=1) / np.maximum(n, 1)
+        gaps = np.where(mask, away - centre[:, None], 0.0)
+        mean[rows] = anchor + centre
+        std[rows] = np.where(n > 1, np.sqrt((gaps * gaps).sum(axis=1) / np.maximum(n - ddof, 1)), 0.0)
     return mean, std
 
 
-def medians(values: np.ndarray, size: np.ndarray, skip: int, drop_largest: int = 0) -> np.ndarray:
+def medians(values: np.ndarray, size: np.ndarray, skip: int, width: int, drop_largest: int = 0) -> np.ndarray:
     """Median per row, optionally after dropping the largest values; zero when nothing is left."""
     out = np.zeros(len(values))
-    for rows, matrix, mask in _windows(values, size, skip):
+    for rows, matrix, mask in _windows(values, size, skip, width):
         ordered = np.where(mask, matrix, np.inf)
         ordered.sort(axis=1)
         n = size[rows] - drop_largest

@@ -133,16 +133,16 @@ def _statistics(counted: DataFrame, group: list[str], rules: Rules, wanted: Iter
         return counted
 
     def compute(chunk):
-        size = chunk.column("window_size").to_numpy()
+        size, width = chunk.column("window_size").to_numpy(), rules.window.max_trades
         price, quantity = chunk.column("price").to_numpy(), chunk.column("quantity").to_numpy()
         out = {}
         if "price_mean" in wanted or "price_std" in wanted:
-            out["price_mean"], out["price_std"] = moments(price, size - 1, skip=1, ddof=1)
+            out["price_mean"], out["price_std"] = moments(price, size - 1, skip=1, ddof=1, width=width)
         if "volume_mean" in wanted or "volume_std" in wanted:
-            out["volume_mean"], out["volume_std"] = moments(quantity, size - 1, skip=1, ddof=1)
+            out["volume_mean"], out["volume_std"] = moments(quantity, size - 1, skip=1, ddof=1, width=width)
         if "volume_median" in wanted:
             # the largest size of the window, the current trade included, is dropped
-            out["volume_median"] = medians(quantity, size, skip=0, drop_largest=1)
+            out["volume_median"] = medians(quantity, size, skip=0, width=width, drop_largest=1)
         if "matched_trade_id" in wanted:
             out["matched_trade_id"] = _wash_matches(chunk, rules)
         return {name: out[name] for name in wanted}

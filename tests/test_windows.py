@@ -112,3 +112,31 @@ def test_features_of_first_trade_and_of_a_jump(spark):
     assert all(math.isfinite(rows[0][f]) for f in FEATURES)
     assert rows[0]["size_vs_median"] == 1.0
     assert rows[-1]["price_z"] > rows[-2]["price_z"]
+
+
+def test_moments_do_not_depend_on_the_chunk():
+    """Statistics of a row are bit for bit the same wherever the tape is cut and whatever its neighbours need."""
+    import numpy as np
+
+    from tapewarden.functions.sliding import moments
+
+    rng = np.random.default_rng(4)
+    values, size = rng.random(5000) * 1e5, rng.integers(0, 200, 5000)
+    size = np.minimum(size, np.arange(5000))
+    mean, std = moments(values, size, skip=1, ddof=1, width=200)
+    for start in (1000, 1017, 3333):
+        part = slice(start - 201, None)
+        own = np.minimum(size[part], np.arange(5000 - start + 201))
+        cut_mean, cut_std = moments(values[part], own, skip=1, ddof=1, width=200)
+        assert (cut_mean[201:] == mean[start:]).all() and (cut_std[201:] == std[start:]).all()
+
+
+def test_flat_windows_are_exactly_flat():
+    import numpy as np
+
+    from tapewarden.functions.sliding import moments
+
+    for price in (100.1, 60_000.1, 0.1, 1 / 3):
+        values = np.append(np.full(60, price), price * 1.01)
+        mean, std = moments(values, np.minimum(np.arange(61), 50), skip=1, ddof=1, width=100)
+        assert (mean[1:] == price).all() and (std == 0).all()
