@@ -8,9 +8,17 @@ from pyspark.sql import types as T
 
 from ..schema import TRADE
 
-# numbers may come as JSON numbers or as numeric strings, so they are read as text and cast
-_NUMBERS = ("price", "quantity")
-_WIRE = T.StructType([T.StructField(f.name, T.StringType()) if f.name in _NUMBERS else f for f in TRADE.fields])
+# numbers may come as JSON numbers or as numeric strings; they and the time are read as text, so that
+# a value that does not parse can be told from a missing one
+NUMBERS = ("price", "quantity")
+WIRE = T.StructType([T.StructField(f.name, T.StringType()) for f in TRADE.fields])
+
+
+def typed_trades(wire: DataFrame) -> DataFrame:
+    """Text columns as trade types, and ``time_ok``: the time is missing or could be read."""
+    time = F.try_to_timestamp("timestamp")
+    numbers = {name: F.col(name).try_cast("double") for name in NUMBERS}
+    return wire.withColumns(numbers | {"time_ok": F.col("timestamp").isNull() | time.isNotNull(), "timestamp": time})
 
 
 def valid_trade() -> Column:
@@ -33,9 +41,8 @@ def valid_trade() -> Column:
 def decode_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     """JSON messages (text or bytes) to typed trade columns, plus the raw text and ``valid``."""
     raw = F.col(value).cast("string")
-    parsed = messages.withColumn("raw", raw).withColumn("_trade", F.from_json("raw", _WIRE)).select("raw", "_trade.*")
-    typed = parsed.withColumns({name: F.col(name).try_cast("double") for name in _NUMBERS})
-    return typed.withColumn("valid", valid_trade())
+    parsed = messages.withColumn("raw", raw).withColumn("_trade", F.from_json("raw", WIRE)).select("raw", "_trade.*")
+    return typed_trades(parsed).withColumn("valid", valid_trade() & F.col("time_ok")).drop("time_ok")
 
 
 def decode_trades(messages: DataFrame, value: str = "value") -> DataFrame:

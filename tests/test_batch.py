@@ -73,7 +73,7 @@ def test_decode_and_rejects(spark):
         '{"trade_id":"f","symbol":"X","price":1.5,"quantity":1}',
     ]
     raw = spark.createDataFrame([(t.encode(),) for t in texts], "value binary")
-    good = normalise(decode_trades(raw)).orderBy("trade_id").collect()
+    good = normalise(decode_trades(raw), ingest=True).orderBy("trade_id").collect()
     assert [(r["trade_id"], r["symbol"], r["price"], r["side"], r["currency"]) for r in good] == [
         ("a", "AAPL", 10.0, "sell", "USD"),
         ("f", "X", 1.5, "buy", "USD"),
