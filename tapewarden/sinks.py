@@ -20,6 +20,8 @@ def write_partitioned(df: DataFrame, path: str, fmt: str = "parquet", sort_by: t
     still too big.
     """
     columns = [c for c in sort_by if c in df.columns]
+    # a run that fails must not leave the marker of the one before it
+    _hadoop_file(df.sparkSession, path, "_SUCCESS", lambda fs, marker: fs.delete(marker, False))
     (
         df.hint("rebalance", "dt", *columns[:1])
         .sortWithinPartitions("dt", *columns)
@@ -138,11 +140,12 @@ def has_success_marker(spark: SparkSession, path: str) -> bool:
     return _hadoop_file(spark, path, "_SUCCESS", lambda fs, marker: fs.exists(marker))
 
 
-def quality_gate(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Fail unless the output was finished and passes every check; returns the checks."""
+def quality_gate(spark: SparkSession, path: str, fmt: str = "parquet", day: str | None = None) -> DataFrame:
+    """Fail unless the output was finished and passes every check; returns the checks. With ``day``, of that day only."""
     if not has_success_marker(spark, path):
         raise ValueError(f"no _SUCCESS marker under {path}")
-    checks = quality_checks(spark.read.format(fmt).load(path))
+    rows = spark.read.format(fmt).load(path)
+    checks = quality_checks(rows if day is None else rows.filter(F.col("dt") == day))
     broken = [r["check"] for r in checks.filter("not passed").collect()]  # at most one row per check
     if broken:
         raise ValueError(f"quality checks failed for {path}: {', '.join(broken)}")
