@@ -54,6 +54,15 @@ def stream_runs(
     )
 
 
+def engine_runs(tape: DataFrame, rules: Rules | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Runs of a labelled tape, a trade being flagged if it has an alert after the cooldown."""
+    from .alerts import run_engine
+
+    alerted = run_engine(tape, rules, rows_per_task=rows_per_task).select("trade_id").distinct()
+    records = tape.select(*ORDER, "label").join(alerted.withColumn("flagged", F.lit(True)), "trade_id", "left")
+    return stream_runs(records, rows_per_task=rows_per_task)
+
+
 def episodes(runs: DataFrame) -> DataFrame:
     """Labelled runs; one is detected when any of its rows was flagged."""
     return runs.filter(F.col("label").isNotNull()).select("run", "label", F.col("flagged").alias("detected"), "rows")

@@ -56,7 +56,7 @@ parts as (
          list_filter(live, lambda x: x.us >= event_us - 5000000) as live5,
          list_filter(live, lambda x: x.us >= event_us - 3000000) as live3
   from held),
-win as (
+win as materialized (
   select trade_id, event_us, symbol, price, quantity, account_id, counterparty_id, label, side, rn, n, n > 20 as ready,
          coalesce(list_avg(ps), 0) as price_mean,
          case when n > 2 then list_stddev_samp(ps) else 0 end as price_std,
@@ -71,9 +71,12 @@ win as (
 EVENT_COLUMNS = "null as account_id, null as counterparty_id, null as label"
 
 WASH = """
-wash as (
+slim as materialized (
+  select trade_id, symbol, account_id, side, event_us, price, quantity,
+         row_number() over (partition by symbol order by event_us, trade_id) as rn from tape),
+wash as materialized (
   select a.trade_id, arg_max(b.trade_id, b.rn) as matched_trade_id
-  from win a join win b on a.symbol = b.symbol and a.account_id = b.account_id and a.side <> b.side
+  from slim a join slim b on a.symbol = b.symbol and a.account_id = b.account_id and a.side <> b.side
    and b.rn < a.rn and a.rn - b.rn < 200 and b.event_us >= a.event_us - 5000000
    and abs(b.price - a.price) / a.price <= 0.001
    and abs(b.quantity - a.quantity) / greatest(b.quantity, a.quantity, 1e-9) <= 0.02
@@ -559,3 +562,27 @@ ORACLES["admission_control"] = (
     )
     + "select client, hits, cast(r.acc as bigint) as accepted, cast(r.chk as bigint) as \"check\" from fold"
 )
+
+for _cut, _whole in (
+    ("cut_price_statistics", "price_statistics"),
+    ("cut_batch_features", "batch_rolling_features"),
+    ("cut_model_features", "trade_model_features"),
+    ("cut_cooldown_alerts", "cooldown_alerts"),
+):
+    ORACLES[_cut] = ORACLES[_whole]
+
+_FLAT = """tape as (
+  select * replace (case when (o // 512) % 2 = 0 then cast(case when o % 97 = 0 then 101.0001371828 else 100.1 end as double)
+                         else price end as price) from plain)"""
+ORACLES["flat_price_statistics"] = (
+    _with(TAPE.replace("tape as (", "plain as (", 1), _FLAT, WINDOWS)
+    + "select trade_id, round(price_mean, 6) as price_mean, round(price_std, 6) as price_std, price_std > 0 as moves from win"
+)
+
+# the engine's own flags in the place of the batch ones
+_engine_flags = """flags as (
+  select t.event_us, t.trade_id, t.label, a.trade_id as detector
+  from tape t left join (select distinct trade_id from alerts) a using (trade_id))"""
+for _name, _batch_name in (("engine_event_metrics", "event_metrics"), ("engine_label_recall", "label_recall")):
+    _tail = ORACLES[_batch_name].split(RUNS.strip("\n"), 1)[1]
+    ORACLES[_name] = _alerts.rstrip() + ",\n" + _engine_flags + "," + RUNS + _tail

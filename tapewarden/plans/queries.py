@@ -28,7 +28,7 @@ from ..rules import GuardrailRules, Rules
 from ..sinks import curated, gold_shape, quality_checks, run_freshness
 from ..sources.messages import decode_messages, decode_trades
 from ..sources.tape import normalise
-from .tapes import event_tape, lineitem_tape, table
+from .tapes import event_tape, flat_tape, lineitem_tape, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -678,3 +678,61 @@ def all_queries() -> dict[str, Query]:
 
     return dict(QUERIES)
 
+
+# ------------------------------------------------------------- groups cut by rank
+
+#: Small enough that every larger symbol is cut into several chunks.
+CUT_ROWS = 2_000
+
+
+@query
+def cut_price_statistics(spark, sf_dir):
+    out = engine_windows(lineitem_tape(spark, sf_dir), statistics=("price_mean", "price_std"), rows_per_task=CUT_ROWS)
+    return out.select("trade_id", _r("price_mean"), _r("price_std"))
+
+
+@query
+def cut_batch_features(spark, sf_dir):
+    out = B.batch_features(lineitem_tape(spark, sf_dir), rows_per_task=CUT_ROWS)
+    return out.select("trade_id", _r("price_mean"), _r("price_std"), _r("price_z", 5), _r("vol_ratio"), "velocity")
+
+
+@query
+def cut_model_features(spark, sf_dir):
+    out = model_features(lineitem_tape(spark, sf_dir), rows_per_task=CUT_ROWS)
+    return out.select("trade_id", *[_r(name, 5) for name in FEATURES])
+
+
+@query
+def cut_cooldown_alerts(spark, sf_dir):
+    alerts = run_engine(lineitem_tape(spark, sf_dir), rows_per_task=CUT_ROWS)
+    return alerts.select("trade_id", "symbol", "detector", "event_us", "severity", _r("score"))
+
+
+# ------------------------------------------------------------- flat stretches
+
+
+@query
+def flat_price_statistics(spark, sf_dir):
+    """Windows of one repeated price have exactly that mean and no deviation."""
+    out = engine_windows(flat_tape(spark, sf_dir), statistics=("price_mean", "price_std"))
+    return out.select("trade_id", _r("price_mean"), _r("price_std"), (F.col("price_std") > 0).alias("moves"))
+
+
+# ------------------------------------------------------------- the engine against the labels
+
+
+def _engine_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.engine_runs(lineitem_tape(spark, sf_dir))
+
+
+@query
+def engine_event_metrics(spark, sf_dir):
+    out = G.event_metrics(_engine_runs(spark, sf_dir))
+    ratios = ("precision", "recall", "false_positive_rate", "f1")
+    return out.select(*[c for c in out.columns if c not in ratios], *[_r(c) for c in ratios])
+
+
+@query
+def engine_label_recall(spark, sf_dir):
+    return G.label_recall(_engine_runs(spark, sf_dir))

@@ -50,6 +50,14 @@ def lineitem_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flat_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tape with stretches of one price (a value that binary sums do not hit exactly) and a jump after each."""
+    order = F.split("trade_id", "-")[0].cast("long")
+    jump = F.when(order % 97 == 0, 101.0001371828)
+    price = F.when(F.pmod(F.floor(order / 512), F.lit(2)) == 0, F.coalesce(jump, F.lit(100.1))).otherwise(F.col("price"))
+    return lineitem_tape(spark, sf_dir).withColumn("price", price)
+
+
 def event_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sparse tape over a month, from the event stream."""
     events = table(spark, sf_dir, "events")
