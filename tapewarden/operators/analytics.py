@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import notional
 from .rolling import ORDER
-from .split import running_sums
+from .split import ROWS_PER_TASK, running_sums
 
 MICROS = 1_000_000
 
@@ -160,12 +160,12 @@ def latest_values(rows: DataFrame, value: str, order: tuple[str, ...], limit: in
     return rows.orderBy(*[F.desc(c) for c in order]).limit(limit).select(F.col(value).cast("double").alias("value"))
 
 
-def nearest_rank_stats(values: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+def nearest_rank_stats(values: DataFrame, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
     """p50, p95, p99 (zero-based nearest rank ``min(n - 1, floor(p n))``), max and mean of ``value``.
 
     Ranks are running counts over distinct values, so ties collapse before
-    anything is sorted. The default takes the bounded reservoir of
-    :func:`latest_values`; give ``rows_per_task`` for a whole column.
+    anything is sorted. ``None`` is for a frame of bounded size, like the reservoir
+    of :func:`latest_values`.
     """
     counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     total = values.agg(F.count(F.lit(1)).alias("_total"), F.max("value").alias("_max"), F.avg("value").alias("_mean"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 500_000
 #: Largest per-task offset table that is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 
 CHUNK, HALO, POS = "_chunk", "_halo", "_pos"
 _TASK_BITS = 33  # monotonically_increasing_id() keeps the task number above bit 33

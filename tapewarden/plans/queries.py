@@ -461,7 +461,7 @@ def _reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def nearest_rank_percentiles(spark, sf_dir):
-    return A.nearest_rank_stats(_reservoir(spark, sf_dir))
+    return A.nearest_rank_stats(_reservoir(spark, sf_dir), rows_per_task=None)
 
 
 @query
