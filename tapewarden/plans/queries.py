@@ -33,6 +33,9 @@ from .tapes import event_tape, flat_tape, lineitem_tape, table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+#: The six detectors that SQL can check; the seventh, the online forest, has queries of its own.
+COLUMN_RULES = Rules().replace(isolation_forest={"enabled": False})
+
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -346,12 +349,12 @@ for _name in BUILT_IN:
 
 @query
 def all_alerts(spark, sf_dir):
-    rows, _ = candidate_alerts(lineitem_tape(spark, sf_dir))
+    rows, _ = candidate_alerts(lineitem_tape(spark, sf_dir), COLUMN_RULES)
     return rows.select("trade_id", "symbol", "detector", "severity", _r("score"))
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_engine(lineitem_tape(spark, sf_dir))
+    return run_engine(lineitem_tape(spark, sf_dir), COLUMN_RULES)
 
 
 @query
@@ -377,7 +380,7 @@ def alert_order(spark, sf_dir):
 @query
 def trade_decisions(spark, sf_dir):
     tape = lineitem_tape(spark, sf_dir)
-    out = decisions(tape, run_engine(tape))
+    out = decisions(tape, run_engine(tape, COLUMN_RULES))
     top = F.get("alerts", F.lit(0))
     return out.select(
         "trade_id", "anomalous", F.size("alerts").cast("long").alias("alerts"),
@@ -387,7 +390,7 @@ def trade_decisions(spark, sf_dir):
 
 @query
 def engine_totals(spark, sf_dir):
-    return engine_stats(lineitem_tape(spark, sf_dir))
+    return engine_stats(lineitem_tape(spark, sf_dir), COLUMN_RULES)
 
 
 # ------------------------------------------------------------- analytics
@@ -705,7 +708,7 @@ def cut_model_features(spark, sf_dir):
 
 @query
 def cut_cooldown_alerts(spark, sf_dir):
-    alerts = run_engine(lineitem_tape(spark, sf_dir), rows_per_task=CUT_ROWS)
+    alerts = run_engine(lineitem_tape(spark, sf_dir), COLUMN_RULES, rows_per_task=CUT_ROWS)
     return alerts.select("trade_id", "symbol", "detector", "event_us", "severity", _r("score"))
 
 
@@ -723,7 +726,7 @@ def flat_price_statistics(spark, sf_dir):
 
 
 def _engine_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.engine_runs(lineitem_tape(spark, sf_dir))
+    return G.engine_runs(lineitem_tape(spark, sf_dir), COLUMN_RULES)
 
 
 @query
