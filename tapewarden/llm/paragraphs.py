@@ -1,7 +1,7 @@
 """Near-duplicate paragraphs by MinHash banding.
 
-Paragraphs (lines) become sets of five-word shingles and MinHash signatures; equal
-sets are one representative. The number of bands follows from the recall wanted at
+Paragraphs (blocks between blank lines, or lines where a text has no blank ones) become
+sets of five-word shingles and MinHash signatures; equal sets are one representative. The number of bands follows from the recall wanted at
 the similarity threshold. Representatives that collide in a band are confirmed by
 exact Jaccard similarity (:mod:`tapewarden.llm.links`), clusters are the connected
 components, and of each cluster the first paragraph stays.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tapewarden.llm.links import link_components
 from tapewarden.llm.scratch import written
-from tapewarden.llm.words import Texts, fingerprint, mixed, shingles, text_rounds, words
+from tapewarden.llm.words import _IS_SPACE, Texts, fingerprint, mixed, shingles, text_rounds, words
 from tapewarden.session import ship_package
 
 ROWS = 3
@@ -34,14 +34,25 @@ def bands_for(similarity: float, recall: float, rows: int = ROWS) -> int:
 
 
 def paragraphs_of(texts: Texts) -> tuple[Texts, np.ndarray, np.ndarray]:
-    """The lines of a round of texts as rows of their own, the text each belongs to, and its number there."""
+    """The paragraphs of a round of texts as rows of their own, the text each belongs to, and the number of its first line there.
+
+    A text with a blank line between two others is cut at its blank lines, any other text at each line.
+    """
     breaks = np.flatnonzero(texts.data == 10)
     starts = np.concatenate([texts.bounds[:-1], breaks + 1])
     owner = np.concatenate([np.arange(len(texts.bounds) - 1), np.searchsorted(texts.bounds, breaks, side="right") - 1])
     order = np.lexsort((owner, starts))
     starts, owner = starts[order], owner[order]
     first = np.searchsorted(owner, np.arange(len(texts.bounds) - 1))
-    return Texts(texts.first, texts.data, np.append(starts, len(texts.data))), owner, np.arange(len(owner)) - first[owner]
+    number = np.arange(len(owner)) - first[owner]
+    signs = np.concatenate([[0], np.cumsum(~_IS_SPACE[texts.data])])
+    full = np.diff(signs[np.append(starts, len(texts.data))]) > 0
+    at = np.flatnonzero(full)
+    in_blocks = np.zeros(len(texts.bounds) - 1, dtype=bool)
+    in_blocks[owner[at[1:][(np.diff(at) > 1) & (owner[at[1:]] == owner[at[:-1]])]]] = True
+    begins = ~in_blocks[owner] | (number == 0)
+    begins[1:] |= full[1:] & ~full[:-1]
+    return Texts(texts.first, texts.data, np.append(starts[begins], len(texts.data))), owner[begins], number[begins]
 
 
 def signatures(sets: list[np.ndarray], values: int) -> np.ndarray:
@@ -65,9 +76,9 @@ def _sketched(documents: DataFrame, min_words: int, values: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in text_rounds(batch["text"]):
-                lines, owner, number = paragraphs_of(texts)
-                found = words(lines)
-                long = np.flatnonzero(np.diff(found.rows) >= min_words)
+                blocks, owner, number = paragraphs_of(texts)
+                found = words(blocks)
+                long = np.flatnonzero(np.diff(found.rows) >= max(min_words, 1))
                 every = shingles(found)
                 sets = [every[k] for k in long]
                 prints = [fingerprint(s) for s in sets]
@@ -92,15 +103,15 @@ def _full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in text_rounds(batch["text"]):
-                lines, owner, _ = paragraphs_of(texts)
-                every = shingles(words(lines))
+                blocks, owner, number = paragraphs_of(texts)
+                every = shingles(words(blocks))
                 first = np.searchsorted(owner, np.arange(len(texts.bounds)))
                 ids, members = [], []
                 for k in range(len(texts.bounds) - 1):
                     for ask in batch["wanted"][texts.first + k].as_py():
-                        at = first[k] + ask["paragraph"]
+                        at = first[k] + np.searchsorted(number[first[k] : first[k + 1]], ask["paragraph"])
                         # another row may carry the same doc_id
-                        if at < first[k + 1] and len(every[at]) and fingerprint(every[at]) == (ask["fa"], ask["fb"]):
+                        if at < first[k + 1] and number[at] == ask["paragraph"] and len(every[at]) and fingerprint(every[at]) == (ask["fa"], ask["fb"]):
                             ids.append(ask["id"])
                             members.append(every[at].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(members, pa.binary())], ["id", "members"])
@@ -112,14 +123,16 @@ def _full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 def duplicate_paragraphs(documents: DataFrame, percent: int = 80, recall: float = 0.9999, min_words: int = 10) -> DataFrame:
     """Paragraphs that have a near duplicate: ``doc_id, paragraph, n_shingles, first_doc_id, first_paragraph, kept``.
 
-    Paragraphs are the lines of a text, numbered from 0. Two are linked if the intersection of their
+    A text with a blank line between two others consists of the paragraphs that blank lines separate, any
+    other text of its lines; a paragraph has the number of its first line, from 0. Two are linked if the intersection of their
     sets of five-word shingles is ``percent`` of the union or more; clusters are the connected
     components. A cluster is named by its first paragraph (smallest doc_id, then number), the only one
     kept. ``recall`` is the chance that a pair exactly at the threshold collides; more similar
     pairs collide nearly always.
 
-    Paragraphs of fewer than ``min_words`` words (empty texts and nulls have only such) are left alone
-    and not returned, nor are paragraphs without a partner. Rows of one doc_id and equal text have the
+    Paragraphs of fewer than ``min_words`` words are left alone and not returned; 1 searches all that have
+    a word, those of one to four words as one shingle. Paragraphs without a word (empty texts and nulls
+    have only such) and paragraphs without a partner are not returned. Rows of one doc_id and equal text have the
     same paragraphs, returned once. Rows without doc_id take no part. Other columns are ignored; an
     empty table gives an empty result.
     """

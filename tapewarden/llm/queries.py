@@ -62,7 +62,7 @@ from pairs
 
 
 def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_paragraphs(_table(spark, sf_dir, "documents"))
+    return duplicate_paragraphs(_table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
