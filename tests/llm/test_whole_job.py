@@ -7,6 +7,7 @@ import re
 from brute import linked, shingle_set, words
 from test_text_operators import corpus
 
+import corpus_pipeline
 from tapewarden.llm import queries
 
 
@@ -35,3 +36,16 @@ def test_short_and_wrapped_paragraphs_are_searched(spark, tmp_path):
     got = queries.op2_paragraph_minhash(spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert sum(r[0] >= 1000 and r[2] == 2 for r in want) == 30 and {(1030, 0), (1031, 4), (1032, 0)} <= {r[:2] for r in want}
+
+
+def test_near_duplicate_stage_takes_a_similarity_of_four_fifths(spark):
+    """A pair of similarity between 0.80 and 0.85: the stage drops one, the default of 85 keeps both."""
+    base = ["w%d" % k for k in range(104)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join([*base[:86], *("x%d" % k for k in range(10)), *base[96:]]))], "doc_id long, text string")
+    a, b = (shingle_set(r.text) for r in docs.collect())
+    docs2 = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base[:86]))], "doc_id long, text string")
+    c = shingle_set(" ".join(base[:86]))
+    assert len(a & b) / len(a | b) < 0.8 <= len(a & c) / len(a | c) < 0.85
+    drop = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert [r.doc_id for r in drop(spark, docs2, "").collect()] == [1]
+    assert sorted(r.doc_id for r in drop(spark, docs, "").collect()) == [1, 2]
