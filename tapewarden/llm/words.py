@@ -106,9 +106,10 @@ def word_beginnings(texts: Texts, found: Words, length: int) -> np.ndarray:
     data = np.concatenate([texts.data, np.full(length, 32, np.uint8)])
     out = np.zeros(len(found.starts), dtype=np.uint64)
     inside = np.ones(len(found.starts), dtype=bool)
+    ends = np.repeat(texts.bounds[1:], np.diff(found.rows))  # the next text begins without a space
     for k in range(length):
         byte = data[found.starts + k]
-        inside &= ~_IS_SPACE[byte]
+        inside &= ~_IS_SPACE[byte] & (found.starts + k < ends)
         out += np.where(inside, _BYTE_VALUE[byte], np.uint64(0)) * _PLACE[k]
     return mixed(out)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from brute import linked, shingle_set, words
 from test_text_operators import corpus
 
 import corpus_pipeline
-from tapewarden.llm import queries
+from tapewarden.llm import queries, resampling
 
 
 def paragraphs_by_line(text: str | None) -> dict[int, str]:
@@ -49,3 +50,14 @@ def test_near_duplicate_stage_takes_a_similarity_of_four_fifths(spark):
     drop = dict(corpus_pipeline.STAGES)["near_duplicates"]
     assert [r.doc_id for r in drop(spark, docs2, "").collect()] == [1]
     assert sorted(r.doc_id for r in drop(spark, docs, "").collect()) == [1, 2]
+
+
+def test_every_ngram_has_a_ratio_of_its_own(spark):
+    """More distinct words than any fixed table of 2**18 buckets holds: each is counted alone."""
+    n = 300_000
+    rows = [(" ".join("q%dz" % k for k in range(start, start + 3000)), 2, int(start < n // 2)) for start in range(0, n, 3000)]
+    texts = spark.createDataFrame(rows, "text string, copies long, targets long")
+    model = resampling.log_ratios(texts)
+    assert model.filter("kind = 0").count() == n and model.filter("kind = 1").count() == n
+    want = {round(math.log(2 / 1.5), 9), round(math.log(1 / 1.5), 9)}
+    assert {round(r.ratio, 9) for r in model.filter("kind < 2").select("ratio").distinct().collect()} == want
