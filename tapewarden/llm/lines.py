@@ -6,8 +6,9 @@ makes a run of its own on level 0; when a level holds ``fanout`` runs they are
 merged into one of the next level, so there are about log(batches) runs at any
 time and a key is rewritten as often. Counts and largest doc_ids merge by sum and
 maximum, so the verdict on a line does not depend on how the batches were cut.
-A batch is cleaned by a merge join of its lines with the runs: lines whose key has
-met ``min_docs`` documents go, except in the largest doc_id that holds them.
+After the last batch all lines are joined once with the merged runs, since later
+batches change verdicts on earlier ones: lines whose key has met ``min_docs``
+documents go, except in the largest doc_id that holds them.
 """
 
 from __future__ import annotations
