@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewarden.llm.audit import filter_interactions
 from tapewarden.llm.decontamination import contaminated
 from tapewarden.llm.lines import deduplicate_lines
 from tapewarden.llm.mixing import mixed_documents
@@ -188,6 +189,64 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_preference": op1_preference, "op2_paragraph_minhash": op2_paragraph_minhash, "op3_line_runs": op3_line_runs, "op4_radix_repeats": op4_radix_repeats, "op5_importance_resampling": op5_importance_resampling, "op6_source_schedule": op6_source_schedule, "op7_setsketch": op7_setsketch, "op8_cross_polytope": op8_cross_polytope, "op9_spaced_seeds": op9_spaced_seeds, "op10_weak_supervision": op10_weak_supervision}
+def op12_byte_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
-ORACLES: dict[str, str] = {"op1_preference": OP1_SQL, "op3_line_runs": OP3_SQL, "op6_source_schedule": OP6_SQL, "op9_spaced_seeds": OP9_SQL}
+
+OP12_SQL = r"""
+with words as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+           list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+    from documents
+), told as (
+    select doc_id, part,
+           (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+           + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::int
+           + 8 * regexp_matches(text, '[#$%&*|]')::int
+           + 16 * coalesce(min(doc_id) over (partition by text) < doc_id, false)::int as failed
+    from words
+), known as (
+    select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id
+), patterns as (
+    select part, failed, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+    from told left join known using (doc_id) group by part, failed
+), letters as (
+    select unnest(['A', 'B', 'C', 'D', 'E']) as f
+), orders as (
+    select a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps as (
+    select filter_order, step::int as step, (1 << (ascii(filter_order[step]) - 65)) as own,
+           coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(filter_order[k]) - 65))), 0)::bigint as before
+    from orders, range(1, 6) t(step)
+), counted as (
+    select part, filter_order, step, own,
+           sum(n) filter (where failed & (before | own) = 0) as kept,
+           sum(n) filter (where failed & own <> 0 and failed & before = 0) as removed,
+           sum(n) filter (where failed & own <> 0 and failed & before <> 0) as redundant,
+           sum(n) filter (where failed = own) as unique_fails,
+           sum(good) filter (where failed & own <> 0 and failed & before = 0) as good_lost,
+           sum(toxic) filter (where failed & own <> 0 and failed & before = 0) as toxic_lost
+    from patterns, steps group by part, filter_order, step, own
+)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+       coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+       coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+       (sum(coalesce(removed, 0)) over (partition by part, own))::bigint as shapley
+from counted
+"""
+
+
+QUERIES: dict[str, Query] = {
+    query.__name__: query
+    for query in (
+        op1_preference, op2_paragraph_minhash, op3_line_runs, op4_radix_repeats, op5_importance_resampling,
+        op6_source_schedule, op7_setsketch, op8_cross_polytope, op9_spaced_seeds, op10_weak_supervision,
+        op12_byte_transducer,
+    )
+}
+
+ORACLES: dict[str, str] = {
+    "op1_preference": OP1_SQL, "op3_line_runs": OP3_SQL, "op6_source_schedule": OP6_SQL, "op9_spaced_seeds": OP9_SQL,
+    "op12_byte_transducer": OP12_SQL,
+}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import re
 from collections import defaultdict
 
@@ -113,3 +115,66 @@ def leaks(doc: str | None, item: str | None, window: int = 13, differ: int = 2)
             if same >= window - differ:
                 hits.append((i, i + window - 1, same))
     return (min(h[0] for h in hits), max(h[1] for h in hits), max(h[2] for h in hits)) if hits else None
+
+
+def interactions(docs: list[tuple], labels: list[tuple]) -> set[tuple]:
+    """Rows of the filter audit for ``docs(doc_id, text, source)`` and ``labels(doc_id, quality, toxic)``, each order replayed."""
+    smallest = {}
+    for d, t, _ in docs:
+        if d is not None:
+            smallest[t or ""] = min(d, smallest.get(t or "", d))
+    told = []
+    for d, t, source in docs:
+        t = t or ""
+        w = [x for x in re.split(SPACES + "+", t) if x]
+        fails = {
+            "A": len(w) < 200,
+            "B": 100 * len(set(w)) < 50 * len(w),
+            "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t),
+            "D": bool(re.search(r"[#$%&*|]", t)),
+            "E": d is not None and smallest[t] < d,
+        }
+        mine = [x for x in labels if d is not None and x[0] == d]
+        told.append((source or "", {f for f in fails if fails[f]}, any(x[1] == 1 for x in mine), any(x[2] == 1 for x in mine)))
+    out = []
+    for part in {x[0] for x in told}:
+        removed_by = defaultdict(int)
+        rows = []
+        for order in itertools.permutations("ABCDE"):
+            left = [x for x in told if x[0] == part]
+            gone = []
+            for step, f in enumerate(order, 1):
+                now = [x for x in left if f in x[1]]
+                left = [x for x in left if f not in x[1]]
+                only = sum(x[1] == {f} for x in told if x[0] == part)
+                rows.append((part, "".join(order), step, len(left), len(now), sum(f in x[1] for x in gone), only, sum(x[2] for x in now), sum(x[3] for x in now)))
+                removed_by[f] += len(now)
+                gone += now
+        out += [(*row, removed_by[row[1][row[2] - 1]]) for row in rows]
+    return set(out)
+
+
+def product_codes(rows: list[tuple]) -> dict:
+    """``vec_id -> (code, error, label_error)`` and the codebooks' hash of ``rows(vec_id, vector, label)`` of one length."""
+    kept = [(v, [math.floor(1024 * x) for x in vec], label) for v, vec, label in rows if vec is not None and all(x is not None and math.isfinite(x) for x in vec)]
+    kept.sort(key=lambda r: r[0])
+    width = len(kept[0][1]) // 4
+    part = lambda vec, p: vec[p * width : (p + 1) * width]
+    books = [[part(vec, p) for _, vec, _ in kept[:256]] for p in range(4)]
+
+    def nearest(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, entry, strict=True)), k) for k, entry in enumerate(book))
+
+    for turn in range(5):
+        found = [[nearest(part(vec, p), books[p]) for p in range(4)] for _, vec, _ in kept]
+        if turn < 4:
+            for p in range(4):
+                for k in range(len(books[p])):
+                    mine = [part(vec, p) for (_, vec, _), f in zip(kept, found, strict=True) if f[p][1] == k]
+                    if mine:
+                        books[p][k] = [sum(c) // len(mine) for c in zip(*mine, strict=True)]
+    by_label = defaultdict(int)
+    for (_, _, label), f in zip(kept, found, strict=True):
+        by_label[label] += sum(x[0] for x in f)
+    listed = sha(",".join(str(x) for book in books for entry in book for x in entry).encode())
+    return {v: ("".join(f"{k:02x}" for _, k in f), sum(x[0] for x in f), by_label[label], listed) for (v, _, label), f in zip(kept, found, strict=True)}
