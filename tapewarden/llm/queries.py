@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewarden.llm.audit import filter_interactions
+from tapewarden.llm.codes import product_codes
 from tapewarden.llm.decontamination import contaminated
 from tapewarden.llm.lines import deduplicate_lines
 from tapewarden.llm.mixing import mixed_documents
@@ -237,16 +238,59 @@ from counted
 """
 
 
+def op13_sliced_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = 4) -> str:
+    """Every round looks at all entries of a codebook; the smallest of ``distance * 256 + index`` is the nearest."""
+    nearest = """
+found{r} as materialized (
+    select i, p, any_value(x) as x,
+           min(list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint * 256 + k) as best
+    from parts join book{r} using (p) group by i, p
+)"""
+    update = """
+means{r} as (
+    select p, k, list(mean order by pos) as e from (
+        select p, best % 256 as k, pos, floor(sum(x[pos]) / count(*))::bigint as mean
+        from found{r}, unnest(range(1, len(x) + 1)) t(pos) group by p, best % 256, pos
+    ) group by p, k
+), book{n} as materialized (
+    select p, k, coalesce(m.e, b.e) as e from book{r} b left join means{r} m using (p, k)
+)"""
+    steps = ",".join(nearest.format(r=r) + ("," + update.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+with kept as materialized (
+    select row_number() over (order by vec_id) as i, vec_id, label,
+           list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+    from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as materialized (
+    select i, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] as x from kept, range(4) t(p)
+), book0 as materialized (
+    select p, i - 1 as k, x as e from parts where i <= 256
+),{steps}, listed as (
+    select sha256(string_agg(array_to_string(e, ','), ',' order by p, k)) as codebooks_sha256 from book{rounds}
+), coded as (
+    select i, string_agg(printf('%02x', best % 256), '' order by p) as code, sum(best // 256)::bigint as error
+    from found{rounds} group by i
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from coded join kept using (i), listed
+"""
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_preference, op2_paragraph_minhash, op3_line_runs, op4_radix_repeats, op5_importance_resampling,
         op6_source_schedule, op7_setsketch, op8_cross_polytope, op9_spaced_seeds, op10_weak_supervision,
-        op12_byte_transducer,
+        op12_byte_transducer, op13_sliced_codes,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_preference": OP1_SQL, "op3_line_runs": OP3_SQL, "op6_source_schedule": OP6_SQL, "op9_spaced_seeds": OP9_SQL,
-    "op12_byte_transducer": OP12_SQL,
+    "op12_byte_transducer": OP12_SQL, "op13_sliced_codes": _op13_sql(),
 }
