@@ -14,6 +14,7 @@ from tapewarden.llm.lines import deduplicate_lines
 from tapewarden.llm.mixing import mixed_documents
 from tapewarden.llm.neighbours import nearest_neighbours
 from tapewarden.llm.paragraphs import duplicate_paragraphs
+from tapewarden.llm.parity import jaccard_components
 from tapewarden.llm.personal import personal_data
 from tapewarden.llm.preference import format_preferences, stale_answer_pairs
 from tapewarden.llm.repeats import remove_repeats
@@ -190,6 +191,38 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_parity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+#: Pairs by common shingles, components by walking all links.
+OP11_SQL = r"""
+with recursive split as materialized (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+    from documents
+), sets as materialized (
+    select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')]
+                        else list_distinct(list_transform(range(1, len(w) - 1), lambda k: concat(w[k], ' ', w[k + 1], ' ', w[k + 2]))) end as s
+    from split
+), grams as materialized (
+    select doc_id, len(s) as n, hash(unnest(s)) as g from sets
+), common as (
+    select a.doc_id as a, b.doc_id as b, any_value(a.n) as n_a, any_value(b.n) as n_b, count(*) as c
+    from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    group by a.doc_id, b.doc_id
+), links as materialized (
+    select unnest([a, b]) as x, unnest([b, a]) as y from common where 100 * c >= 90 * (n_a + n_b - c)
+), reach as (
+    select x as start, x as spot from links
+    union
+    select r.start, l.y from reach r join links l on r.spot = l.x
+)
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce(m.low, doc_id)) as component_id
+from sets left join (select start, min(spot) as low from reach group by start) m on m.start = doc_id
+"""
+
+
 def op12_byte_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -286,11 +319,11 @@ QUERIES: dict[str, Query] = {
     for query in (
         op1_preference, op2_paragraph_minhash, op3_line_runs, op4_radix_repeats, op5_importance_resampling,
         op6_source_schedule, op7_setsketch, op8_cross_polytope, op9_spaced_seeds, op10_weak_supervision,
-        op12_byte_transducer, op13_sliced_codes,
+        op11_parity_sketch, op12_byte_transducer, op13_sliced_codes,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_preference": OP1_SQL, "op3_line_runs": OP3_SQL, "op6_source_schedule": OP6_SQL, "op9_spaced_seeds": OP9_SQL,
-    "op12_byte_transducer": OP12_SQL, "op13_sliced_codes": _op13_sql(),
+    "op11_parity_sketch": OP11_SQL, "op12_byte_transducer": OP12_SQL, "op13_sliced_codes": _op13_sql(),
 }

@@ -16,9 +16,9 @@ def words(text: str | None) -> list[str]:
     return [w for w in re.split(SPACES + "+", (text or "").translate(LOW)) if w]
 
 
-def shingle_set(text: str | None) -> frozenset:
+def shingle_set(text: str | None, width: int = 5) -> frozenset:
     w = words(text)
-    return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
 def linked(sets: dict, percent: int) -> dict:
