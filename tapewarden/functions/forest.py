@@ -8,6 +8,7 @@ path length.
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +48,16 @@ class Forest:
             total[start : start + 4096] = self.depth[trees, node].mean(axis=0)
         return np.power(2.0, -total / max(float(average_path(self.sample)), 1e-12))
 
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez_compressed(out, feature=self.feature.astype(np.int16), cut=self.cut, depth=self.depth, sample=self.sample)
+        return out.getvalue()
+
+    @staticmethod
+    def from_bytes(data: bytes) -> Forest:
+        with np.load(io.BytesIO(data), allow_pickle=False) as held:
+            return Forest(held["feature"].astype(np.int64), held["cut"], held["depth"], int(held["sample"]))
+
 
 def grow(samples: np.ndarray, rng: np.random.Generator) -> Forest:
     """One tree per entry of ``samples`` (trees, rows, features)."""

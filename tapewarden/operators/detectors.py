@@ -19,6 +19,9 @@ from ..rules import Rules
 from ..schema import ALERT_DDL
 
 
+ALERT_FIELDS = ("detector", "rank", "position", "severity", "score", "reason", "details")
+
+
 @dataclass(frozen=True)
 class Verdict:
     """What a detector says about a trade; a false or null ``fires`` means no alert."""
@@ -192,7 +195,8 @@ def enabled_detectors(rules: Rules, extra: Iterable[Detector] = ()) -> list[Dete
     return [*on, *extra]
 
 
-def _alert(detector: Detector, position: int, rules: Rules) -> Column:
+def alert_of(detector: Detector, position: int, rules: Rules) -> Column:
+    """The alert of a trade, null where the detector does not fire."""
     v = detector.build(rules)
     alert = F.struct(
         F.lit(detector.name).alias("detector"),
@@ -213,7 +217,7 @@ def usable_detectors(
     good, broken = [], []
     for position, detector in enumerate(detectors):
         try:
-            windows.select(_alert(detector, position, rules))
+            windows.select(alert_of(detector, position, rules))
             good.append((position, detector))
         except (AnalysisException, ArithmeticError, AttributeError, LookupError, TypeError, ValueError):
             broken.append(detector.name)
@@ -223,7 +227,7 @@ def usable_detectors(
 def alert_array(windows: DataFrame, rules: Rules, detectors: Iterable[Detector]) -> tuple[DataFrame, list[str]]:
     """Add ``alerts``, the alerts of each trade (empty array: none), in registration order."""
     good, broken = usable_detectors(windows, rules, detectors)
-    fired = [_alert(d, position, rules) for position, d in good]
+    fired = [alert_of(d, position, rules) for position, d in good]
     alerts = F.filter(F.array(*fired), lambda a: a.isNotNull()) if fired else F.array().cast(f"array<{ALERT_DDL}>")
     return windows.withColumn("alerts", alerts), broken
 

@@ -184,6 +184,8 @@ def isolation_features(tape: DataFrame, rules: Rules | None = None, rows_per_tas
         "symbol",
         "trade_id",
         "event_us",
+        "price",
+        "quantity",
         z("price", "price_mean", "price_std").alias("f_price_z"),
         z("quantity", "volume_mean", "volume_std").alias("f_vol_z"),
         F.when(last > 0, (F.col("price") - last) / last).otherwise(0.0).alias("f_ret"),

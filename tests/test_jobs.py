@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from conftest import SMALL, tape, trade
@@ -12,7 +13,7 @@ from tapewarden.schema import TRADE
 from tapewarden.sinks import console_lines, fan_out, quality_checks, quality_gate, record_run, run_freshness
 from tapewarden.sources.scans import replay_trades, scan_job_runs
 from tapewarden.sources.tape import normalise
-from tapewarden.streaming.engine import alerts_to_json, decoded_stream, stream_alerts, use_rocksdb
+from tapewarden.streaming.engine import alerts_to_json, decoded_stream, fan_out_batches, stream_alerts, stream_engine, use_rocksdb
 from tapewarden.streaming.windows import latest_updates, stream_window_flags, upsert_updates
 
 
@@ -81,12 +82,14 @@ def key(df):
     return sorted(tuple(r) for r in df.select("trade_id", "detector", "severity", F.round("score", 9)).collect())
 
 
-def test_stream_in_many_batches_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("forest", [True, False])
+def test_stream_in_many_batches_equals_batch(spark, tmp_path, forest):
+    """Windows, clocks and the forest's training rows and models survive restarts between micro-batches."""
     use_rocksdb(spark)
     df = lineitem_tape(spark, SMALL).cache()
     edges = df.approxQuantile("event_us", [0.3, 0.6], 0.0)
     parts = [df.filter(F.col("event_us") <= edges[0]), df.filter((F.col("event_us") > edges[0]) & (F.col("event_us") <= edges[1])), df.filter(F.col("event_us") > edges[1])]
-    rules, out = Rules(), str(tmp_path / "alerts")
+    rules, out = Rules().replace(isolation_forest={"enabled": forest}), str(tmp_path / "alerts")
     for part in parts:
         write_trades(part, tmp_path / "in")
         # a new query per batch: windows and clocks come back from the checkpoint
@@ -94,10 +97,46 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
         drain(alerts_to_json(alerts, out, str(tmp_path / "checkpoint")))
     got = spark.read.schema(alerts.schema).json(out)
     assert key(got) == key(run_engine(df, rules))
+    assert (got.filter("detector = 'isolation_forest'").count() > 0) == forest
     assert got.filter("out_of_order").count() == 0
     df.unpersist()
 
 
+def test_forest_refits_in_small_micro_batches(spark, tmp_path):
+    """Refits that fall into, between and at the end of micro-batches give the batch models."""
+    use_rocksdb(spark)
+    rng = random.Random(2)
+    rows = [trade(k, 100 + rng.gauss(0, 1) + 9 * (k % 37 == 0), 100 + rng.random() * 10 + 300 * (k % 41 == 0), "buy" if rng.random() < 0.5 else "sell") for k in range(170)]
+    df = tape(spark, rows)
+    rules = Rules().replace(isolation_forest={"train_size": 40, "retrain_every": 15, "score_threshold": 0.5, "contamination": 0.2}, alert_cooldown_seconds=0.0)
+    for a, b in ((0, 30), (30, 75), (75, 76), (76, 150), (150, 170)):
+        write_trades(tape(spark, rows).filter(F.col("trade_id").between(f"t{a:06d}", f"t{b - 1:06d}")), tmp_path / "in")
+        alerts = stream_alerts(normalise(replay_trades(spark, str(tmp_path / "in"))), rules)
+        drain(alerts_to_json(alerts, str(tmp_path / "alerts"), str(tmp_path / "checkpoint")))
+    got, want = key(spark.read.schema(alerts.schema).json(str(tmp_path / "alerts"))), key(run_engine(df, rules))
+    assert got == want and sum(r[1] == "isolation_forest" for r in want) > 5
+
+
+def test_idle_symbols_go_and_late_trades_are_rejected(spark, tmp_path):
+    use_rocksdb(spark)
+    batches = [
+        [trade(k, 100.0 + k % 2, symbol="IDLE", name=f"a{k:02d}") for k in range(25)],
+        [trade(92, 50.0, symbol="BUSY", name="b0"), trade(100, 50.0, symbol="BUSY", name="b1")],
+        [trade(60, 80.0, symbol="BUSY", name="late"), trade(95, 80.0, symbol="BUSY", name="b2"), trade(101, 50.0, symbol="BUSY", name="b3")],
+        # within the window's 300 s, but IDLE has been forgotten by now: no previous price, no warm-up
+        [trade(102, 200.0, symbol="IDLE", name="back"), trade(103, 230.0, symbol="IDLE", name="then")],
+    ]
+    for rows in batches:
+        write_trades(tape(spark, rows), tmp_path / "in")
+        events = stream_engine(normalise(replay_trades(spark, str(tmp_path / "in"))), Rules(), lateness_seconds=10.0, idle_seconds=30.0)
+        drain(fan_out_batches(events, str(tmp_path / "out"), str(tmp_path / "cp"), rejects=str(tmp_path / "rejects")))
+    rejects = spark.read.json(str(tmp_path / "rejects")).collect()
+    assert [(r["trade_id"], r["symbol"], r["reason"]) for r in rejects] == [("late", "BUSY", "behind the watermark")]
+    alerts = spark.read.json(str(tmp_path / "out"))
+    found = {(r["trade_id"], r["detector"], r["out_of_order"]) for r in alerts.filter("detector = 'price_spike'").collect()}
+    assert found == {("b2", "price_spike", True), ("then", "price_spike", False)}
+
+
 def test_late_trades_are_judged_in_their_place_and_marked(spark, tmp_path):
     use_rocksdb(spark)
     messages = lambda rows: tape(spark, rows).withColumn("timestamp", F.timestamp_micros("event_us")).select(F.to_json(F.struct(*TRADE.fieldNames())).alias("value"))
