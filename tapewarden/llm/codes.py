@@ -29,6 +29,8 @@ from tapewarden.session import ship_package
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Vectors that are looked up at once.
 BLOCK = 1024
+#: Pairs of a vector and an entry that are subtracted at once.
+PAIRS = 1 << 16
 #: Label totals are sent to all executors up to this many labels.
 BROADCAST_LABELS = 100_000
 #: Beyond it, copies of every label's total, so that the rows of a hot label meet it in many tasks.
@@ -52,14 +54,15 @@ class SlicedBook:
         self.radius = self._usual_distance()
 
     def _usual_distance(self) -> int:
-        """Half the median distance from an entry to the one sorted next to it by its widest dimension."""
+        """The median distance from an entry to the nearest other one."""
         count, width = self.entries.shape
         if count < 2 or not width:
             return 1
-        widest = int(np.ptp(self.entries, axis=0).argmax())
-        line = self.entries[self.entries[:, widest].argsort(kind="stable")]
-        gaps = ((line[1:] - line[:-1]) ** 2).sum(axis=1)
-        return max(1, math.isqrt(int(np.median(gaps))) // 2)
+        nearest = []
+        for k, entry in enumerate(self.entries):
+            others = ((self.entries - entry) ** 2).sum(axis=1)
+            nearest.append(min(others[:k].min(initial=others.max()), others[k + 1 :].min(initial=others.max())))
+        return max(1, math.isqrt(int(np.median(nearest))))
 
     def in_box(self, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
         """A row of flags for each vector: the entries within ``radius`` of it in every dimension."""
@@ -70,22 +73,30 @@ class SlicedBook:
             found &= masks[high] ^ masks[low]
         return np.unpackbits(found.view(np.uint8), axis=1, bitorder="little")[:, : len(self.entries)]
 
+    def _squares(self, x: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """Squared distances, right where ``flags`` are set: pair by pair where few are, as a matrix product where many."""
+        reach = int(np.abs(x).max(initial=0)) + int(np.abs(self.entries).max(initial=0))
+        few = flags.sum(dtype=np.int64) * 16 < flags.size
+        if few or max(x.shape[1], 1) * reach**2 >= 1 << 51:  # a product of doubles would no longer be exact
+            row, entry = np.nonzero(flags)
+            out = np.zeros(flags.shape, dtype=np.int64)
+            for start in range(0, len(row), PAIRS):
+                some = slice(start, start + PAIRS)
+                out[row[some], entry[some]] = ((x[row[some]] - self.entries[entry[some]]) ** 2).sum(axis=1)
+            return out
+        a, b = x.astype(np.float64), self.entries.astype(np.float64)
+        return ((a * a).sum(axis=1)[:, None] - 2 * (a @ b.T) + (b * b).sum(axis=1)).astype(np.int64)
+
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and squared distance of the nearest entry of each row, ties to the lower index."""
         index, distance = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
         todo, radius = np.arange(len(x)), np.full(len(x), self.radius, dtype=np.int64)
         most = np.iinfo(np.int64).max
         while len(todo):
-            row, entry = np.nonzero(self.in_box(x[todo], radius))
-            square = ((x[todo[row]] - self.entries[entry]) ** 2).sum(axis=1)
-            best = np.full(len(todo), most)
-            heads = np.flatnonzero(np.diff(row, prepend=-1))
-            if len(row):
-                best[row[heads]] = np.minimum.reduceat(square, heads)
-            # candidates come by index, so the first of the nearest is the lowest
-            hit = np.flatnonzero(square == best[row])
-            chosen = np.zeros(len(todo), dtype=np.int64)
-            chosen[row[hit[::-1]]] = entry[hit[::-1]]
+            flags = self.in_box(x[todo], radius)
+            square = np.where(flags, self._squares(x[todo], flags), most)
+            chosen = square.argmin(axis=1)  # the first of equal ones
+            best = square[np.arange(len(todo)), chosen]
             done = best <= radius * radius
             index[todo[done]], distance[todo[done]] = chosen[done], best[done]
             met = (best < most) & ~done
