@@ -2,7 +2,7 @@
 
 from .operators.alerts import candidate_alerts, decisions, engine_stats, run_engine
 from .operators.cooldown import cooldown, mark_cooldown
-from .operators.detectors import Detector, Verdict
+from .operators.detectors import Detector, PandasDetector, Verdict
 from .operators.rolling import engine_windows
 from .rules import Rules, load_rules
 from .schema import TRADE
@@ -11,6 +11,7 @@ from .sources.tape import normalise
 __all__ = [
     "TRADE",
     "Detector",
+    "PandasDetector",
     "Rules",
     "Verdict",
     "candidate_alerts",

@@ -1,16 +1,26 @@
 """The rule detectors as column expressions over the rolling window columns.
 
 A detector maps the rules to a nullable alert struct; all detectors of a trade
-are evaluated in one projection, so seven rules cost one pass. Users register
-their own the same way (:func:`register`).
+are evaluated in one projection, so seven rules cost one pass. Users give
+their own the same way, or as a pandas function (:class:`PandasDetector`).
+
+Detectors fail open. One that cannot be built or resolved is left out; one that cannot
+judge a trade gives no alert for that trade, and its name is put into the trade's ``failed``
+array. Expressions are built with ANSI mode off, so a division by zero, a bad cast or an index
+out of range is null instead of the end of the job; a verdict that is null although
+nothing it may abstain on is null has failed. A pandas function that raises is
+called again with halves of its rows until only the failing ones are left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -39,6 +49,60 @@ class Detector:
     build: Callable[[Rules], Verdict]
     #: Arrow-computed window columns the expressions read
     statistics: tuple[str, ...] = ()
+    #: columns that may be null: then the detector abstains instead of failing
+    abstains: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class PandasDetector:
+    """A detector in Python: ``inspect`` gets rows with ``columns`` and returns ``fires, severity, score, reason, details`` for each."""
+
+    name: str
+    inspect: Callable[[pd.DataFrame], pd.DataFrame]
+    columns: tuple[str, ...]
+    statistics: tuple[str, ...] = ()
+
+
+AnyDetector = Detector | PandasDetector
+
+_JUDGED = "fires boolean, severity string, score double, reason string, details string, failed boolean"
+_JUDGED_COLUMNS = ["fires", "severity", "score", "reason", "details"]
+
+
+@contextmanager
+def lenient(spark: SparkSession) -> Iterator[None]:
+    """Expressions that are built in here give null where ANSI mode would raise."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def judge_rows(inspect: Callable[[pd.DataFrame], pd.DataFrame], rows: pd.DataFrame) -> pd.DataFrame:
+    """The verdicts on ``rows``; rows on which ``inspect`` raises are marked as failed, all others judged."""
+    try:
+        told = inspect(rows.copy())
+        if len(told) != len(rows):
+            raise ValueError(f"{len(told)} verdicts on {len(rows)} trades")
+        told = told[_JUDGED_COLUMNS].set_axis(rows.index)
+        return told.assign(fires=told["fires"].astype(bool), score=told["score"].astype(float), failed=False)
+    except Exception:  # noqa: BLE001 - whatever a user's function raises
+        if len(rows) <= 1:
+            return pd.DataFrame({c: None for c in _JUDGED_COLUMNS} | {"failed": True}, index=rows.index)
+        middle = len(rows) // 2
+        return pd.concat([judge_rows(inspect, rows.iloc[:middle]), judge_rows(inspect, rows.iloc[middle:])])
+
+
+def _judged(detector: PandasDetector) -> Column:
+    inspect = detector.inspect
+
+    @F.pandas_udf(_JUDGED)
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        return judge_rows(inspect, rows.reset_index(drop=True))
+
+    return judge(F.struct(*detector.columns))
 
 
 def _col(name: str) -> Column:
@@ -82,7 +146,7 @@ def _price_spike(rules: Rules) -> Verdict:
     spike, last = rules.price_spike, F.col("previous_price")
     move = F.when(last > 0, (F.col("price") - last) / last)
     return Verdict(
-        fires=F.abs(move) >= spike.pct_threshold,
+        fires=(last > 0) & (F.abs(move) >= spike.pct_threshold),
         severity=_tiers(F.abs(move) >= spike.critical_pct, "high"),
         score=F.least(F.lit(1.0), F.abs(move) / max(spike.critical_pct, 1e-9)),
         reason=F.concat(
@@ -98,7 +162,7 @@ def _volume_spike(rules: Rules) -> Verdict:
     spike, median = rules.volume_spike, F.col("volume_median")
     ratio = F.when(median > 0, F.col("quantity") / median)
     return Verdict(
-        fires=_col("ready") & (ratio >= spike.median_multiplier),
+        fires=_col("ready") & (median > 0) & (ratio >= spike.median_multiplier),
         severity=_tiers(ratio >= spike.critical_multiplier, "high"),
         score=F.least(F.lit(1.0), ratio / max(spike.critical_multiplier, 1e-9)),
         reason=F.concat(
@@ -181,7 +245,7 @@ BUILT_IN = {
     d.name: d
     for d in (
         Detector("zscore", _zscore, ("price_mean", "price_std")),
-        Detector("price_spike", _price_spike),
+        Detector("price_spike", _price_spike, abstains=("previous_price",)),
         Detector("volume_spike", _volume_spike, ("volume_median",)),
         Detector("velocity", _velocity),
         Detector("spoofing", _spoofing),
@@ -190,46 +254,77 @@ BUILT_IN = {
 }
 
 
-def enabled_detectors(rules: Rules, extra: Iterable[Detector] = ()) -> list[Detector]:
+def enabled_detectors(rules: Rules, extra: Iterable[AnyDetector] = ()) -> list[AnyDetector]:
     on = [d for name, d in BUILT_IN.items() if getattr(rules, name).enabled]
     return [*on, *extra]
 
 
+def _struct(name: str, position: int, severity: Column, score: Column, reason: Column, details: Column) -> Column:
+    return F.struct(
+        F.lit(name).alias("detector"),
+        severity_rank(severity).alias("rank"),
+        F.lit(position).alias("position"),
+        severity.alias("severity"),
+        clamp_score(score).alias("score"),
+        reason.alias("reason"),
+        details.alias("details"),
+    ).cast(ALERT_DDL)
+
+
 def alert_of(detector: Detector, position: int, rules: Rules) -> Column:
     """The alert of a trade, null where the detector does not fire."""
     v = detector.build(rules)
-    alert = F.struct(
-        F.lit(detector.name).alias("detector"),
-        severity_rank(v.severity).alias("rank"),
-        F.lit(position).alias("position"),
-        v.severity.alias("severity"),
-        clamp_score(v.score).alias("score"),
-        v.reason.alias("reason"),
-        F.to_json(F.struct(*[c.alias(k) for k, c in v.details.items()])).alias("details"),
-    ).cast(ALERT_DDL)
-    return F.when(v.fires, alert)
+    details = F.to_json(F.struct(*[c.alias(k) for k, c in v.details.items()]))
+    return F.when(v.fires & v.severity.isNotNull() & v.score.isNotNull(), _struct(detector.name, position, v.severity, v.score, v.reason, details))
+
+
+def _failure(detector: Detector, rules: Rules) -> Column:
+    """Whether the detector could not judge a trade."""
+    v = detector.build(rules)
+    lost = v.fires.isNull() | (v.fires & (v.severity.isNull() | v.score.isNull()))
+    return reduce(lambda bad, name: bad & F.col(name).isNotNull(), detector.abstains, lost)
 
 
 def usable_detectors(
-    windows: DataFrame, rules: Rules, detectors: Iterable[Detector]
-) -> tuple[list[tuple[int, Detector]], list[str]]:
+    windows: DataFrame, rules: Rules, detectors: Iterable[AnyDetector]
+) -> tuple[list[tuple[int, AnyDetector]], list[str]]:
     """Fail open: a detector whose expression cannot be built or resolved is left out and reported."""
     good, broken = [], []
     for position, detector in enumerate(detectors):
         try:
-            windows.select(alert_of(detector, position, rules))
+            if isinstance(detector, PandasDetector):
+                windows.select(*detector.columns)
+            else:
+                windows.select(alert_of(detector, position, rules), *detector.abstains)
             good.append((position, detector))
         except (AnalysisException, ArithmeticError, AttributeError, LookupError, TypeError, ValueError):
             broken.append(detector.name)
     return good, broken
 
 
-def alert_array(windows: DataFrame, rules: Rules, detectors: Iterable[Detector]) -> tuple[DataFrame, list[str]]:
-    """Add ``alerts``, the alerts of each trade (empty array: none), in registration order."""
-    good, broken = usable_detectors(windows, rules, detectors)
-    fired = [alert_of(d, position, rules) for position, d in good]
-    alerts = F.filter(F.array(*fired), lambda a: a.isNotNull()) if fired else F.array().cast(f"array<{ALERT_DDL}>")
-    return windows.withColumn("alerts", alerts), broken
+def alert_array(windows: DataFrame, rules: Rules, detectors: Iterable[AnyDetector]) -> tuple[DataFrame, list[str]]:
+    """Add ``alerts``, the alerts of each trade in registration order, and ``failed``, the detectors that could not judge it.
+
+    Also returns the detectors that were left out altogether.
+    """
+    with lenient(windows.sparkSession):
+        good, broken = usable_detectors(windows, rules, detectors)
+        told = {f"_judged_{position}": _judged(d) for position, d in good if isinstance(d, PandasDetector)}
+        out = windows.withColumns(told) if told else windows
+        fired, failed = [], []
+        for position, d in good:
+            if isinstance(d, PandasDetector):
+                v = F.col(f"_judged_{position}")
+                sound = v["severity"].isNotNull() & v["score"].isNotNull()
+                fired.append(F.when(v["fires"] & sound, _struct(d.name, position, *(v[c] for c in _JUDGED_COLUMNS[1:]))))
+                lost = v["failed"] | (v["fires"] & ~sound)
+            else:
+                fired.append(alert_of(d, position, rules))
+                lost = _failure(d, rules)
+            failed.append(F.when(lost, F.lit(d.name)))
+        present = lambda items, kind: F.filter(F.array(*items), lambda a: a.isNotNull()) if items else F.array().cast(f"array<{kind}>")
+        out = out.withColumns({"alerts": present(fired, ALERT_DDL), "failed": present(failed, "string")})
+    return out.drop(*told), broken
 
 
 def raised_by(windows: DataFrame, name: str, rules: Rules | None = None) -> DataFrame:

@@ -350,6 +350,10 @@ ORACLES: dict[str, str] = {
     union all select 'alerts_suppressed', '', (select count(*) from cand) - (select count(*) from alerts)
     union all select 'by_detector', detector, count(*) from alerts group by 2
     union all select 'by_severity', severity, count(*) from alerts group by 2""",
+    "engine_errors": _alerts
+    + """select 'by_detector' as metric, detector as key, count(*) as value from alerts group by 2
+    union all select 'detector_errors', 'lot_share', count(*) from tape where quantity % 4000 = 0 having count(*) > 0
+    union all select 'detector_errors', 'first_lots', count(*) from tape where quantity = 20000 having count(*) > 0""",
     "daily_detector_counts": _with(EVENTS, _event_batch)
     + "select strftime(make_timestamp(event_us), '%Y-%m-%d') as dt, detector, count(*) as n from anom group by 1, 2",
     "daily_severity": _with(EVENTS, _event_batch)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from ..operators import evaluation as G
 from ..operators import scoring as S
 from ..operators.admission import admission
 from ..operators.alerts import candidate_alerts, decisions, engine_stats, order_alerts, run_engine
-from ..operators.detectors import BUILT_IN, raised_by, self_trade_column
+from ..operators.detectors import BUILT_IN, Detector, PandasDetector, Verdict, raised_by, self_trade_column
 from ..operators.features import FEATURES, model_features
 from ..operators.guardrails import guardrails, split_rejects
 from ..operators.learning import labelled_matrix, time_split
@@ -393,6 +394,27 @@ def engine_totals(spark, sf_dir):
     return engine_stats(lineitem_tape(spark, sf_dir), COLUMN_RULES)
 
 
+def _lot_share(rules: Rules) -> Verdict:
+    """Divides by zero on blocks of 4,000 and its multiples."""
+    share = F.col("price") / (F.col("quantity") % 4000)
+    return Verdict(share > 0.5, F.lit("low"), F.lit(0.1), F.lit("odd lot"), {"share": share})
+
+
+def _first_lots(rows: pd.DataFrame) -> pd.DataFrame:
+    """Raises if any of its trades is a block of 20,000."""
+    if (rows["quantity"] == 20_000.0).any():
+        raise ValueError("a block")
+    return pd.DataFrame({"fires": rows["quantity"] > 900, "severity": "low", "score": 0.1, "reason": "a lot", "details": "{}"})
+
+
+@query
+def engine_errors(spark, sf_dir):
+    """Two detectors that fail on some trades: the others are judged, and the failures counted."""
+    extra = [Detector("lot_share", _lot_share), PandasDetector("first_lots", _first_lots, ("quantity",))]
+    stats = engine_stats(lineitem_tape(spark, sf_dir), COLUMN_RULES, extra)
+    return stats.filter("metric = 'detector_errors' or (metric = 'by_detector' and key not in ('lot_share', 'first_lots'))")
+
+
 # ------------------------------------------------------------- analytics
 
 
