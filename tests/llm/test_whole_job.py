@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+from collections import Counter
 
+import numpy as np
+import pytest
 from brute import linked, shingle_set, words
 from test_text_operators import corpus
 
@@ -52,12 +56,75 @@ def test_near_duplicate_stage_takes_a_similarity_of_four_fifths(spark):
     assert sorted(r.doc_id for r in drop(spark, docs, "").collect()) == [1, 2]
 
 
-def test_every_ngram_has_a_ratio_of_its_own(spark):
-    """More distinct words than any fixed table of 2**18 buckets holds: each is counted alone."""
+def test_every_word_is_counted_alone(spark, monkeypatch):
+    """More distinct words than any table of fixed size holds; tasks send on what they hold in between."""
+    monkeypatch.setattr(resampling, "HELD", 5_000)
     n = 300_000
-    rows = [(" ".join("q%dz" % k for k in range(start, start + 3000)), 2, int(start < n // 2)) for start in range(0, n, 3000)]
-    texts = spark.createDataFrame(rows, "text string, copies long, targets long")
-    model = resampling.log_ratios(texts)
-    assert model.filter("kind = 0").count() == n and model.filter("kind = 1").count() == n
-    want = {round(math.log(2 / 1.5), 9), round(math.log(1 / 1.5), 9)}
-    assert {round(r.ratio, 9) for r in model.filter("kind < 2").select("ratio").distinct().collect()} == want
+    rows = [(" ".join("q%dz" % k for k in range(start, start + 3000)), "target" if start < n // 2 else None) for start in range(0, n, 3000)]
+    counts = resampling.unigram_counts(spark.createDataFrame(rows * 2, "text string, role string")).filter("is_word")
+    assert counts.count() == n and counts.filter("raw = 2 and target = 2").count() == counts.filter("raw = 2 and target = 0").count() == n // 2
+
+
+def tokens(text: str | None) -> list[tuple[str, bytes]]:
+    """Words as the model takes them (punctuation apart, A-Z lower-cased) and their beginnings, up to the next space."""
+    sign = re.escape("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()))
+    return [(t.group(), w[t.start() :].encode()[: resampling.BEGINNING]) for w in words(text) for t in re.finditer(f"[{sign}]+|[^{sign}]+", w)]
+
+
+def model_scores(texts: list, targets: list, head: int, frequent: int) -> list[tuple[float, float]]:
+    """Word and text scores from plain counters."""
+    split = [[t for t, _ in tokens(text)] for text in texts]
+    starts = [[b for _, b in tokens(text)] for text in texts]
+    raw, good = Counter(), Counter()
+    for ws, bs, target in zip(split, starts, targets):
+        for g in [("w", w) for w in ws] + [("b", b) for b in bs]:
+            raw[g] += 1
+            good[g] += target
+    total = sum(v for g, v in raw.items() if g[0] == "w")
+    share = sum(v for g, v in good.items() if g[0] == "w") / max(total, 1)
+    ratio = {g: math.log((good[g] + 1) / (raw[g] * share + 1)) for g in raw}
+    usual = {g[1] for g, _ in sorted(raw.items(), key=lambda x: -x[1]) if g[0] == "w"} if frequent >= len(raw) else None
+    pairs, good_pairs = Counter(), Counter()
+    for ws, target in zip(split, targets):
+        for p in zip(ws, ws[1:]):
+            if usual is not None:
+                pairs[p] += 1
+                good_pairs[p] += target
+    out = []
+    for ws, bs in zip(split, starts):
+        value = 0.0
+        for k, w in enumerate(ws):
+            p = (ws[k - 1], w) if k else None
+            value += math.log((good_pairs[p] + 1) / (pairs[p] * share + 1)) - ratio["w", p[0]] if p in pairs else ratio["w", w]
+        weakest = min([ratio["w", w] for w in ws] + [ratio["b", b] for b in bs], default=0.0)
+        out.append((weakest, value / len(ws) if ws else 0.0))
+    return out
+
+
+@pytest.mark.parametrize(("head", "frequent"), [(1 << 18, 512), (1 << 18, 0), (0, 0), (7, 0)])
+def test_scores_are_ratios_of_the_two_models(spark, monkeypatch, head, frequent):
+    """With and without bigrams, with all, some and none of the words at hand in every task."""
+    monkeypatch.setattr(resampling, "HEAD", head)
+    monkeypatch.setattr(resampling, "PAIR_WORDS", max(frequent, 1))
+    if not frequent:
+        monkeypatch.setattr(resampling, "_pair_codes", lambda word, found, usual: np.full(len(word), -1, dtype=np.int64))
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["ab", "Abc", " ", "\n", "é!", "xyzzy ", "longerword ", "longerwords ", "#"]) for _ in range(rng.randrange(0, 60))) for _ in range(50)]
+    texts += [texts[0], None, "", "once"]
+    targets = [k % 3 == 0 for k in range(len(texts))]
+    rows = [(k, t, "target" if g else "check", g, False) for k, (t, g) in enumerate(zip(texts, targets))]
+    got = {r.doc_id: (r.word_score, r.text_score) for r in resampling._scored(spark.createDataFrame(rows, "doc_id long, text string, role string, good boolean, toxic boolean").repartition(3)).collect()}
+    want = model_scores(texts, targets, head, frequent)
+    for k, (word, text) in enumerate(want):
+        assert math.isclose(got[k][0], word, abs_tol=1e-9) and math.isclose(got[k][1], text, abs_tol=1e-9), (k, got[k], word, text)
+
+
+def test_gumbel_top_k(spark):
+    """The draw is the k largest keys, and the noise follows a Gumbel distribution."""
+    docs = spark.createDataFrame([(k, "w%d common" % (k % 5)) for k in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = resampling.importance_resample(docs, labels, keep=500, temperature=0.5).collect()
+    want = {r.doc_id for r in sorted(rows, key=lambda r: -r.gumbel_key)[:500]}
+    assert {r.doc_id for r in rows if r.kept} == want
+    noise = [r.gumbel_key - r.log_weight / 0.5 for r in rows]
+    assert abs(sum(noise) / len(noise) - 0.5772) < 0.08
