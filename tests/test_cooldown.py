@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from checker import greedy
 from tapewarden.operators.admission import admission
-from tapewarden.operators.cooldown import chain_exits, cooldown, emitted_positions, mark_cooldown
+from tapewarden.operators.cooldown import _NEVER, Steps, chain_exits, compose, cooldown, emitted_positions, mark_cooldown, pass_through
 
 times = st.lists(st.integers(0, 200), min_size=1, max_size=60, unique=True).map(sorted)
 
@@ -31,6 +31,36 @@ def test_walking_chunk_reports_equals_greedy(ts, gap, size):
         assert last == seen[greedy(seen, gap)[-1]]
 
 
+@given(times, st.integers(1, 60), st.integers(1, 9), st.integers(2, 4))
+@settings(max_examples=400, deadline=None)
+def test_composed_reports_equal_greedy(ts, gap, size, fan):
+    """Up a tree of reports and down again: dense bursts may lie within one cooldown, over many chunks."""
+    chunks = [np.array(ts[k : k + size]) for k in range(0, len(ts), size)]
+    levels = [[Steps(*chain_exits(c, gap), int(c[0]), int(c[-1])) for c in chunks]]
+    while len(levels[-1]) > 1:
+        levels.append([compose(levels[-1][k : k + fan], gap) for k in range(0, len(levels[-1]), fan)])
+    for level in levels:
+        for steps in level:  # a step at most for each candidate of the first cooldown, and one that ends it
+            assert len(steps.until) <= sum(steps.first <= t < steps.first + gap for t in ts) + 1
+    entries = [_NEVER]
+    for level in reversed(levels[:-1]):
+        below = []
+        for k, steps in enumerate(level):
+            below.append(entries[k // fan] if k % fan == 0 else int(pass_through(np.array([below[-1]]), level[k - 1].until, level[k - 1].leave, gap)[0]))
+        entries = below
+    got = [k * size + p for k, (chunk, entry) in enumerate(zip(chunks, entries)) for p in emitted_positions(chunk, gap, entry)]
+    assert got == greedy(ts, gap)
+
+
+def test_half_a_million_candidates_of_one_key(spark):
+    """A burst that is denser than a chunk and one that no cooldown separates: every chunk is its own task."""
+    n = 500_000
+    df = spark.range(n).selectExpr("'A' as symbol", "'x' as detector", "id * 37 + (id div 100000) * 5000000 as event_us", "cast(id as string) as trade_id").repartition(8)
+    times = np.arange(n) * 37 + np.arange(n) // 100_000 * 5_000_000
+    got = sorted(int(r[0]) for r in cooldown(df, 8.0, 20_000).select("event_us").collect())
+    assert got == times[emitted_positions(times, 8_000_000)].tolist()
+
+
 def alerts(spark, seed, n):
     rng, at, rows = random.Random(seed), 0, []
     for i in range(n):
