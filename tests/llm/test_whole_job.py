@@ -119,6 +119,14 @@ def test_scores_are_ratios_of_the_two_models(spark, monkeypatch, head, frequent)
         assert math.isclose(got[k][0], word, abs_tol=1e-9) and math.isclose(got[k][1], text, abs_tol=1e-9), (k, got[k], word, text)
 
 
+def test_commonest_are_no_more_than_asked_for(spark):
+    frame = spark.createDataFrame([(k, 1 + 3 * (k % 50)) for k in range(1000)], "gram long, raw long")
+    for most in (0, 19, 20, 300, 5000):
+        got = [r.raw for r in resampling.commonest(frame, most).collect()]
+        assert len(got) <= most and (len(got) == 1000 or most < 1000)
+        assert not got or min(got) > max(r.raw for r in frame.collect() if r.raw not in set(got)) if len(got) < 1000 else True
+
+
 def test_gumbel_top_k(spark):
     """The draw is the k largest keys, and the noise follows a Gumbel distribution."""
     docs = spark.createDataFrame([(k, "w%d common" % (k % 5)) for k in range(4000)], "doc_id long, text string")
