@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..rules import Rules
@@ -106,24 +106,44 @@ def event_metrics(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def ruleset_sweep(
-    windows: DataFrame, rulesets: dict[str, Rules], rows_per_task: int = ROWS_PER_TASK
+    windows: DataFrame,
+    rulesets: dict[str, Rules],
+    rows_per_task: int = ROWS_PER_TASK,
+    cooldown_alerts: bool = False,
+    tapes: Column | None = None,
 ) -> DataFrame:
     """Event metrics of several threshold sets over features computed once.
 
-    Each set becomes one flag of the same scan (no join, no repeated windows); cooldown is left out, so a set is judged on what its
-    thresholds flag. ``windows`` comes from ``engine_windows`` and has ``label``.
+    Each set becomes one flag of the same scan (no join, no repeated windows). By default a set is judged on what its
+    thresholds flag; with ``cooldown_alerts`` on the alerts that survive its own cooldown, all sets in one
+    de-duplication. ``tapes`` names the tape of a trade: then there is one line per ruleset and tape
+    (see :func:`sweep_spread`). ``windows`` comes from ``engine_windows`` and has ``label``.
     """
+    from .cooldown import mark_cooldown
     from .detectors import enabled_detectors
 
-    flags = []
+    keys = ["ruleset"] if tapes is None else ["ruleset", "tape"]
+    windows = windows.withColumn("tape", F.lit("") if tapes is None else tapes)
+    seconds = {rules.alert_cooldown_seconds for rules in rulesets.values()}
+    if cooldown_alerts and len(seconds) > 1:
+        raise ValueError(f"one cooldown for all rulesets of a sweep, not {sorted(seconds)}")
+    told = []
     for name, rules in rulesets.items():
-        fires = F.lit(False)
-        for detector in enabled_detectors(rules):
-            fires = fires | F.coalesce(detector.build(rules).fires, F.lit(False))
-        flags.append(F.struct(F.lit(name).alias("ruleset"), fires.alias("flagged")))
-    records = windows.select(*ORDER, "label", F.inline(F.array(*flags)))
-    runs = stream_runs(records, keys=["ruleset"], rows_per_task=rows_per_task)
-    return event_metrics(runs, ["ruleset"])
+        fires = [(d.name, F.coalesce(d.build(rules).fires, F.lit(False))) for d in enabled_detectors(rules)]
+        names = F.filter(F.array(*[F.when(f, F.lit(n)) for n, f in fires]), lambda n: n.isNotNull()) if fires else F.array().cast("array<string>")
+        told.append(F.struct(F.lit(name).alias("ruleset"), names.alias("detectors")))
+    # read twice with a cooldown, and the windows are dear
+    slim = windows.select(*ORDER, "symbol", "tape", "label", F.inline(F.array(*told)))
+    slim = checkpointed(slim) if cooldown_alerts else slim
+    records = slim.withColumn("flagged", F.size("detectors") > 0)
+    if cooldown_alerts:
+        fired = slim.select(
+            "ruleset", "tape", *ORDER, F.concat_ws("\u0001", "ruleset", "tape", "symbol").alias("symbol"), F.explode("detectors").alias("detector")
+        )
+        kept = mark_cooldown(fired, seconds.pop(), rows_per_task).filter("emitted").select("ruleset", "trade_id").distinct()
+        records = slim.join(kept.withColumn("flagged", F.lit(True)), ["ruleset", "trade_id"], "left")
+    runs = stream_runs(records, keys=keys, rows_per_task=rows_per_task)
+    return event_metrics(runs, keys)
 
 
 def sweep_spread(metrics: DataFrame, by: str = "ruleset") -> DataFrame:
@@ -142,3 +162,20 @@ def scan_crosscheck(left: DataFrame, right: DataFrame, left_name: str = "rolling
     b = right.groupBy(*keys).agg(F.count(F.lit(1)).alias(right_name))
     joined = a.join(b, keys, "full_outer").fillna({left_name: 0, right_name: 0})
     return joined.withColumn("both_flag", (F.col(left_name) > 0) & (F.col(right_name) > 0))
+
+
+def row_agreement(
+    left: DataFrame, right: DataFrame, row: Sequence[str] = ("symbol", "price", "quantity"), by: Sequence[str] = ("symbol",)
+) -> DataFrame:
+    """Flagged rows that both scans have, and those only one has, per ``by``; equal rows are matched one to one.
+
+    A scan need not carry trade ids, so rows match by their values as a multiset: of n and m equal
+    rows the smaller number agrees. Both scans are counted in one grouped pass, whatever their overlap.
+    """
+    sides = [df.select(*row, F.lit(n).alias("_left"), F.lit(1 - n).alias("_right")) for df, n in ((left, 1), (right, 0))]
+    counts = sides[0].unionByName(sides[1]).groupBy(*row).agg(F.sum("_left").alias("l"), F.sum("_right").alias("r"))
+    return counts.groupBy(*by).agg(
+        F.sum(F.least("l", "r")).alias("both"),
+        F.sum(F.greatest(F.col("l") - F.col("r"), F.lit(0))).alias("only_left"),
+        F.sum(F.greatest(F.col("r") - F.col("l"), F.lit(0))).alias("only_right"),
+    )

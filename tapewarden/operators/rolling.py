@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -171,6 +172,38 @@ def engine_windows(
     return own_rows(_statistics(counted.drop(*scratch), group, rules, statistics)).drop("_rn")
 
 
+RECENT = "array<struct<trade_id:string,event_us:bigint,price:double,quantity:double,side:string>>"
+
+
+def recent_rows(tape: DataFrame, seconds: float, rules: Rules | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Add ``recent``: the rows of a trade's window that are no older than ``seconds``, itself last.
+
+    At most ``max_trades`` rows each; one bounded chunk takes them by position from its sorted columns.
+    """
+    rules = rules or Rules()
+    held = min(seconds, rules.window.horizon_seconds)
+    slim = tape.select("symbol", "trade_id", "event_us", "price", "quantity", "side")
+    cut, group, _ = split_by_rank(slim, ["symbol"], ORDER, halo=rules.window.max_trades, rows_per_task=rows_per_task)
+    by_rank, by_time = Window.partitionBy(*group).orderBy(*ORDER), Window.partitionBy(*group).orderBy("event_us")
+    place = F.row_number().over(by_rank).cast("long")
+    counted = cut.withColumns({"_rn": place, "_old": F.count(F.lit(1)).over(_older_than(by_time, held))})
+    counted = counted.withColumn("_held", F.least(F.lit(rules.window.max_trades), F.col("_rn") - F.col("_old"))).drop("_old")
+    fields = ("trade_id", "event_us", "price", "quantity", "side")
+
+    def compute(chunk):
+        size = chunk.column("_held").to_numpy()
+        ends = np.cumsum(size)
+        # the rows i - size + 1 to i, one trade after another
+        index = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(np.arange(len(size)) - size + 1, size)
+        lists = [chunk.column(name).combine_chunks().take(pa.array(index)) for name in fields]
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        return {"recent": pa.chunked_array([pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(lists, list(fields)))])}
+
+    schema = T.StructType([*counted.schema.fields, T.StructField("recent", T._parse_datatype_string(RECENT))])
+    out = counted.groupBy(*group).applyInArrow(arrow_columns(compute, "_rn"), schema)
+    return own_rows(out).drop("_rn", "_held")
+
+
 def isolation_features(tape: DataFrame, rules: Rules | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """The four online-model features of every ready trade (signed, sample deviation)."""
     rules = rules or Rules()

@@ -6,6 +6,9 @@ not from the Spark plans, so that agreement means something.
 
 from __future__ import annotations
 
+import numpy as np
+
+from ..operators.learning import PRIME
 from .tapes import STEP_US, TAPE_START_US
 
 FEATURES = (
@@ -506,34 +509,122 @@ ORACLES: dict[str, str] = {
 }
 
 
-def _sweep() -> str:
+def _sweep(cooldown: bool = False, tapes: str = "''") -> str:
+    """Metrics per ruleset and tape: ``sweep(ruleset, tape, te, de, fa, f1)``."""
     rules = {"shipped": (3.0, 6, 25), "strict": (4.0, 6, 40), "loose": (2.0, 3, 25)}
-    flagged = " union all ".join(
-        f"select '{name}' as ruleset, event_us, trade_id, label,"
-        f" (ready and abs({Z}) >= {z}) or coalesce(ready and {RATIO} >= {v}, false) or velocity >= {m} as flagged from win"
+    fired = " union all ".join(
+        f"select '{name}' as ruleset, {tapes} as tape, '{detector}' as detector, symbol, event_us, trade_id from win where {fires}"
         for name, (z, v, m) in rules.items()
-    )
-    return (
-        _with(
-            TAPE,
-            WINDOWS,
-            f"""records as ({flagged}),
+        for detector, fires in (
+            ("zscore", f"ready and abs({Z}) >= {z}"), ("volume_spike", f"ready and {RATIO} >= {v}"), ("velocity", f"velocity >= {m}"),
+        )
+    )
+    kept = """
+        times as (select distinct ruleset, symbol, detector, event_us from fired),
+        chain as (
+          select ruleset, symbol, detector, min(event_us) as event_us from times group by 1, 2, 3
+          union all
+          select c.ruleset, c.symbol, c.detector, min(t.event_us) from chain c join times t
+            on t.ruleset = c.ruleset and t.symbol = c.symbol and t.detector = c.detector and t.event_us >= c.event_us + 8000000
+          group by 1, 2, 3),
+        kept as (select ruleset, min(trade_id) as trade_id from fired join chain using (ruleset, symbol, detector, event_us)
+                 group by ruleset, symbol, detector, event_us)"""
+    return _with(
+        TAPE,
+        WINDOWS,
+        f"fired as materialized ({fired})",
+        kept if cooldown else "kept as (select ruleset, trade_id from fired)",
+        f"""hits as (select distinct ruleset, trade_id from kept),
+        records as (select r.ruleset, {tapes.replace("trade_id", "w.trade_id")} as tape, event_us, w.trade_id, label, h.trade_id is not null as flagged
+                    from win w cross join (select unnest({list(rules)}) as ruleset) r
+                    left join hits h on h.ruleset = r.ruleset and h.trade_id = w.trade_id),
         states as (select *, coalesce(label, case when flagged then '+' else '-' end) as state from records),
         steps as (select *, case when lag(state) over o is not distinct from state then 0 else 1 end as start
-                  from states window o as (partition by ruleset order by event_us, trade_id)),
-        numbered as (select *, sum(start) over (partition by ruleset order by event_us, trade_id rows unbounded preceding)
+                  from states window o as (partition by ruleset, tape order by event_us, trade_id)),
+        numbered as (select *, sum(start) over (partition by ruleset, tape order by event_us, trade_id rows unbounded preceding)
                      as run from steps),
-        runs as (select ruleset, run, any_value(label) as label, bool_or(flagged) as flagged from numbered group by 1, 2),
-        t as (select ruleset, count(label) as te, count(*) filter (label is not null and flagged) as de,
-                     count(*) filter (label is null and flagged) as fa from runs group by 1),
-        pr as (select *, de / (de + fa) as pp, de / te as rr from t)""",
-        )
-        + "select ruleset, te as total_events, de as detected_events, fa as false_alarm_episodes,"
-        " round(2 * pp * rr / (pp + rr), 6) as f1 from pr"
+        runs as (select ruleset, tape, run, any_value(label) as label, bool_or(flagged) as flagged from numbered group by 1, 2, 3),
+        t as (select ruleset, tape, count(label) as te, count(*) filter (label is not null and flagged) as de,
+                     count(*) filter (label is null and flagged) as fa from runs group by 1, 2),
+        pr as (select *, coalesce(de / nullif(de + fa, 0), 0) as pp, coalesce(de / nullif(te, 0), 0) as rr from t),
+        sweep as (select *, coalesce(2 * pp * rr / nullif(pp + rr, 0), 0) as f1 from pr)""",
     )
 
 
-ORACLES["ruleset_sweep"] = _sweep()
+_SWEPT = (
+    "select ruleset, te as total_events, de as detected_events, fa as false_alarm_episodes, round(f1, 6) as f1 from sweep"
+)
+ORACLES["ruleset_sweep"] = _sweep() + _SWEPT
+ORACLES["ruleset_sweep_with_cooldown"] = _sweep(cooldown=True) + _SWEPT
+ORACLES["sweep_spread"] = (
+    _sweep(tapes="(cast(split_part(trade_id, '-', 1) as bigint) // 4096 % 4)::varchar")
+    + "select ruleset, round(avg(f1), 6) as f1_mean, round(coalesce(stddev_samp(f1), 0), 6) as f1_std, count(*) as runs"
+    " from sweep group by 1"
+)
+ORACLES["scan_row_agreement"] = _with(
+    TAPE,
+    _batch,
+    HISTORY,
+    """a as (select symbol, price, quantity, count(*) as n from anom group by 1, 2, 3),
+    b as (select symbol, price, quantity, count(*) as n from hist group by 1, 2, 3),
+    ab as (select symbol, coalesce(a.n, 0) as l, coalesce(b.n, 0) as r from a full join b using (symbol, price, quantity))""",
+) + (
+    "select symbol, sum(least(l, r))::bigint as both, sum(greatest(l - r, 0))::bigint as only_left,"
+    " sum(greatest(r - l, 0))::bigint as only_right from ab group by 1"
+)
+ORACLES["recent_rows"] = _with(
+    TAPE,
+    """held as (
+      select trade_id, list_filter(list({'id': trade_id, 'us': event_us, 'p': price}) over last200,
+                                   lambda x: x.us >= event_us - 2000000) as live
+      from tape window last200 as (partition by symbol order by event_us, trade_id rows between 199 preceding and current row))""",
+) + (
+    "select trade_id, len(live) as n, md5(array_to_string(list_transform(live, lambda x: x.id), ',')) as trades,"
+    " round(list_sum(list_transform(live, lambda x: x.p)), 3) as price_sum from held"
+)
+_heavy, _light, _dominant = "greatest(buys, sells)", "least(buys, sells)", "case when buys >= sells then 'buy' else 'sell' end"
+_own = "account_id = counterparty_id"
+ORACLES["alert_texts"] = _with(
+    TAPE,
+    WINDOWS,
+    WASH,
+    "joined as (select win.*, matched_trade_id from win left join wash using (trade_id))",
+    f"""texts as (
+      select trade_id, 'price_spike' as detector, null::varchar as reason, round(previous_price, 6) as previous_price,
+             round({MOVE}, 5) as pct_change, null::bigint as count, null::varchar as dominant_side,
+             null::bigint as buys, null::bigint as sells, null::varchar as signal, null::varchar as matched_trade_id
+      from joined where {DETECTORS["price_spike"][0]}
+      union all
+      select trade_id, 'velocity', velocity || ' trades in 5s (limit 25)', null, null, velocity, null, null, null, null, null
+      from joined where {DETECTORS["velocity"][0]}
+      union all
+      select trade_id, 'spoofing', 'one-sided burst: ' || {_heavy} || ' ' || {_dominant} || ' vs ' || {_light}
+             || ' opposite in 3s (ratio ' || printf('%.1f', round({SPOOF}, 1)) || ')', null, null, null, {_dominant}, buys, sells, null, null
+      from joined where {DETECTORS["spoofing"][0]}
+      union all
+      select trade_id, 'wash_trade',
+             case when {_own} then 'self-trade: account ' || account_id || ' is both buyer and seller of ' || symbol
+                  else 'account ' || account_id || ' crossed both sides of ' || symbol || ' at ~' || printf('%.4f', price)
+                       || ' x ' || printf('%.2f', quantity) || ' within 5s' end,
+             null, null, null, null, null, null, case when {_own} then 'self_counterparty' else 'matched_cross' end,
+             case when {_own} then null else matched_trade_id end
+      from joined where {DETECTORS["wash_trade"][0]})""",
+) + "select * from texts"
+
+
+def _samples(trees: int = 12, sample: int = 64, seed: int = 7) -> str:
+    a, b, c = np.random.default_rng(seed).integers(1, PRIME, (3, trees)).tolist()
+    return _with(
+        TAPE,
+        f"""marks as (select trade_id, md5('{seed}:' || trade_id) as mark from tape),
+        numbers as (select trade_id, mark, ('0x' || mark[1:7])::bigint as x, ('0x' || mark[8:14])::bigint as y from marks),
+        keys as (select trade_id, mark, t::int as tree, ({a}[t + 1] * x + {b}[t + 1] * y + {c}[t + 1]) % {PRIME} as key
+                 from numbers, range({trees}) r(t)),
+        placed as (select *, row_number() over (partition by tree order by key, mark) as place from keys)""",
+    ) + f"select tree, trade_id from placed where place <= {sample}"
+
+
+ORACLES["isolation_samples"] = _samples()
 for _name, (_fires, _severity, _score) in DETECTORS.items():
     ORACLES[f"detect_{_name}"] = (
         _with(TAPE, WINDOWS, WASH)

@@ -23,8 +23,9 @@ from ..operators.alerts import candidate_alerts, decisions, engine_stats, order_
 from ..operators.detectors import BUILT_IN, Detector, PandasDetector, Verdict, raised_by, self_trade_column
 from ..operators.features import FEATURES, model_features
 from ..operators.guardrails import guardrails, split_rejects
-from ..operators.learning import labelled_matrix, time_split
+from ..operators.learning import labelled_matrix, time_split, tree_samples
 from ..operators.rolling import engine_windows, isolation_features
+from ..operators.rolling import recent_rows as rolling_recent
 from ..rules import GuardrailRules, Rules
 from ..sinks import curated, gold_shape, quality_checks, run_freshness
 from ..sources.messages import decode_messages, decode_trades
@@ -307,6 +308,17 @@ def side_imbalance(spark, sf_dir):
     return out.select("trade_id", F.col("buys").cast("long"), F.col("sells").cast("long"))
 
 
+@query
+def recent_rows(spark, sf_dir):
+    """The trades of the last two seconds, as rows; chunks are cut, so that some look back into the one before."""
+    out = rolling_recent(lineitem_tape(spark, sf_dir), 2.0, rows_per_task=CUT_ROWS)
+    names, prices = F.transform("recent", lambda r: r["trade_id"]), F.transform("recent", lambda r: r["price"])
+    return out.select(
+        "trade_id", F.size("recent").cast("long").alias("n"), F.md5(F.array_join(names, ",")).alias("trades"),
+        F.round(F.aggregate(prices, F.lit(0.0), lambda a, x: a + x), 3).alias("price_sum"),
+    )
+
+
 @query
 def wash_matches(spark, sf_dir):
     out = engine_windows(lineitem_tape(spark, sf_dir), statistics=("matched_trade_id",))
@@ -611,6 +623,53 @@ def ruleset_sweep(spark, sf_dir):
     return out.select("ruleset", "total_events", "detected_events", "false_alarm_episodes", _r("f1"))
 
 
+@query
+def ruleset_sweep_with_cooldown(spark, sf_dir):
+    """Rulesets judged on the alerts that survive the cooldown."""
+    windows = engine_windows(lineitem_tape(spark, sf_dir), statistics=("price_mean", "price_std", "volume_median"))
+    out = G.ruleset_sweep(windows, _sweep_rulesets(), cooldown_alerts=True)
+    return out.select("ruleset", "total_events", "detected_events", "false_alarm_episodes", _r("f1"))
+
+
+@query
+def sweep_spread(spark, sf_dir):
+    """Mean and spread of F1 over four stretches of the tape."""
+    windows = engine_windows(lineitem_tape(spark, sf_dir), statistics=("price_mean", "price_std", "volume_median"))
+    quarter = F.pmod(F.floor(F.split("trade_id", "-")[0].cast("long") / 4096), F.lit(4)).cast("string")
+    out = G.sweep_spread(G.ruleset_sweep(windows, _sweep_rulesets(), tapes=quarter))
+    return out.select("ruleset", _r("f1_mean"), _r("f1_std"), "runs")
+
+
+@query
+def scan_row_agreement(spark, sf_dir):
+    """Which flagged rows the rolling and the whole-history scan share, symbol by symbol."""
+    tape = lineitem_tape(spark, sf_dir)
+    rolling = B.batch_flags(B.batch_features(tape.select("trade_id", "event_us", "symbol", "price", "quantity"))).filter("anomalous")
+    return G.row_agreement(rolling, B.history_scan(tape))
+
+
+@query
+def alert_texts(spark, sf_dir):
+    """Reasons and details of the engine's candidates."""
+    rows, _ = candidate_alerts(lineitem_tape(spark, sf_dir), COLUMN_RULES)
+    field = lambda name: F.get_json_object("details", f"$.{name}")
+    number = lambda name: field(name).cast("double").alias(name)
+    kept = rows.filter("detector in ('price_spike', 'velocity', 'spoofing', 'wash_trade')")
+    return kept.select(
+        "trade_id", "detector", F.when(F.col("detector").isin("velocity", "spoofing", "wash_trade"), F.col("reason")).alias("reason"),
+        _r(F.round(number("previous_price"), 6)).alias("previous_price"), _r(number("pct_change"), 5).alias("pct_change"),
+        field("count").cast("long").alias("count"), field("dominant_side").alias("dominant_side"),
+        field("buys").cast("long").alias("buys"), field("sells").cast("long").alias("sells"),
+        field("signal").alias("signal"), field("matched_trade_id").alias("matched_trade_id"),
+    )
+
+
+@query
+def isolation_samples(spark, sf_dir):
+    """Which rows train which tree of the whole-history forest."""
+    return tree_samples(lineitem_tape(spark, sf_dir).select("trade_id"), trees=12, sample=64, seed=7).select("tree", "trade_id")
+
+
 @query
 def scan_crosscheck(spark, sf_dir):
     tape = lineitem_tape(spark, sf_dir)

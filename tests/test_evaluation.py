@@ -1,11 +1,13 @@
 import itertools
+import math
 import random
 
 import pytest
 from conftest import tape, trade
 from pyspark.sql import functions as F
 
-from tapewarden.operators.evaluation import event_metrics, label_recall, ruleset_sweep, stream_runs, sweep_spread
+from tapewarden.operators.evaluation import event_metrics, label_recall, row_agreement, ruleset_sweep, stream_runs, sweep_spread
+from tapewarden.operators.learning import exact_quantile, tree_samples
 from tapewarden.operators.features import FEATURES
 from tapewarden.operators.learning import labelled_matrix, permutation_importance, time_split
 from tapewarden.operators.rolling import engine_windows
@@ -96,3 +98,36 @@ def test_split_and_importance_point_at_the_used_feature(spark):
     assert top[0]["feature"] == "notional_log"
     assert top[0]["importance"] > 0
     assert all(r["importance"] == 0 for r in top[1:])
+
+
+def test_rows_of_two_scans_match_one_to_one(spark):
+    """Equal rows count as often as both scans have them."""
+    ddl = "symbol string, price double, quantity double, detector string"
+    left = spark.createDataFrame([("A", 1.0, 1.0, "x")] * 3 + [("A", 2.0, 1.0, "x"), ("B", 1.0, 1.0, "x"), ("B", None, 1.0, "x")], ddl)
+    right = spark.createDataFrame([("A", 1.0, 1.0, "y")] * 2 + [("A", 3.0, 1.0, "y"), ("C", 1.0, 1.0, "x"), ("B", None, 1.0, "x")], ddl)
+    got = {tuple(r) for r in row_agreement(left, right).collect()}
+    assert got == {("A", 2, 2, 1), ("B", 1, 1, 0), ("C", 0, 0, 1)}
+    k = ["symbol", "price", "quantity"]
+    assert left.select(k).intersectAll(right.select(k)).count() == sum(r[1] for r in got)
+    assert left.select(k).exceptAll(right.select(k)).count() == sum(r[2] for r in got)
+
+
+def test_forest_sample_is_the_same_draw_at_every_size(spark):
+    """Bottom keys per tree: a tree's sample from a part it draws from alone is its sample from the whole."""
+    ids = spark.range(3000).selectExpr("cast(id as string) as trade_id")
+    whole = {(r.tree, r.trade_id) for r in tree_samples(ids, 5, 16, 3).collect()}
+    assert len(whole) == 80
+    some = ids.filter(F.col("trade_id").isin([t for _, t in whole]))
+    assert {(r.tree, r.trade_id) for r in tree_samples(some, 5, 16, 3).collect()} == whole
+    few = {(r.tree, r.trade_id) for r in tree_samples(ids.limit(9), 4, 16, 3).collect()}
+    assert len(few) == 36
+
+
+def test_exact_quantile(spark):
+    rng = random.Random(4)
+    values = [rng.choice([1.0, 2.5, rng.gauss(0, 1)]) for _ in range(997)]
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for share in (0.0, 0.02, 0.5, 0.98, 1.0):
+        want = sorted(values)[max(1, math.ceil(share * 997 - 1e-9)) - 1]
+        assert exact_quantile(frame, "v", share) == exact_quantile(frame, "v", share, rows_per_task=50) == want
+    assert math.isnan(exact_quantile(frame.limit(0), "v", 0.5))
