@@ -30,7 +30,7 @@ from ..rules import GuardrailRules, Rules
 from ..sinks import curated, gold_shape, quality_checks, run_freshness
 from ..sources.messages import decode_messages, decode_trades
 from ..sources.tape import normalise
-from .tapes import event_tape, flat_tape, lineitem_tape, table
+from .tapes import event_tape, flat_tape, lineitem_tape, priced_tape, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,14 +103,14 @@ def normalise_trades(spark, sf_dir):
 
 @query
 def event_second_counts(spark, sf_dir):
-    tape = _timed(lineitem_tape(spark, sf_dir))
+    tape = _timed(priced_tape(spark, sf_dir))
     return tape.groupBy(event_seconds().alias("ts_seconds")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def severity_ranks(spark, sf_dir):
     """Every severity the batch flags give, ranked and with scores clamped."""
-    flagged = B.batch_flags(B.batch_features(lineitem_tape(spark, sf_dir))).filter("anomalous")
+    flagged = B.batch_flags(B.batch_features(priced_tape(spark, sf_dir))).filter("anomalous")
     return flagged.groupBy("severity", severity_rank(F.col("severity")).cast("long").alias("rank")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -176,17 +176,17 @@ def gold_load_shape(spark, sf_dir):
 
 @query
 def batch_rolling_features(spark, sf_dir):
-    out = B.batch_features(lineitem_tape(spark, sf_dir))
+    out = B.batch_features(priced_tape(spark, sf_dir))
     return out.select("trade_id", _r("price_mean"), _r("price_std"), _r("price_z", 5), _r("vol_ratio"), "velocity")
 
 
 @query
 def batch_velocity_counts(spark, sf_dir):
-    return B.batch_velocity(lineitem_tape(spark, sf_dir))
+    return B.batch_velocity(priced_tape(spark, sf_dir))
 
 
 def _batch_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = lineitem_tape(spark, sf_dir).select("trade_id", "event_us", "symbol", "price", "quantity", "label")
+    tape = priced_tape(spark, sf_dir, "label").drop("side")
     return B.batch_flags(B.batch_features(tape))
 
 
@@ -234,13 +234,13 @@ def first_anomalies(spark, sf_dir):
 
 @query
 def history_statistics(spark, sf_dir):
-    out = B.history_stats(lineitem_tape(spark, sf_dir))
+    out = B.history_stats(priced_tape(spark, sf_dir))
     return out.select("symbol", "trades", _r("price_mean"), _r("price_std"), _r("quantity_mean"))
 
 
 @query
 def history_scan(spark, sf_dir):
-    out = B.history_scan(lineitem_tape(spark, sf_dir))
+    out = B.history_scan(priced_tape(spark, sf_dir))
     return out.select("symbol", "detector", _r("price"), "quantity", _r("score", 5))
 
 
@@ -256,7 +256,7 @@ def mapper_projection(spark, sf_dir):
 
 @query
 def sliding_window_flags(spark, sf_dir):
-    flags = B.window_flags(B.window_baselines(_timed(lineitem_tape(spark, sf_dir))), max_trades=180)
+    flags = B.window_flags(B.window_baselines(_timed(priced_tape(spark, sf_dir))), max_trades=180)
     return flags.select(
         F.unix_micros("window_start").alias("window_start_us"), F.unix_micros("window_end").alias("window_end_us"),
         "symbol", "detector", "price_z_max", "trade_count", "price_mean",
@@ -268,25 +268,25 @@ def sliding_window_flags(spark, sf_dir):
 
 @query
 def bounded_window(spark, sf_dir):
-    out = engine_windows(lineitem_tape(spark, sf_dir), statistics=())
+    out = engine_windows(priced_tape(spark, sf_dir), statistics=())
     return out.select("trade_id", F.col("window_size").cast("long"), "ready")
 
 
 @query
 def price_statistics(spark, sf_dir):
-    out = engine_windows(lineitem_tape(spark, sf_dir), statistics=("price_mean", "price_std"))
+    out = engine_windows(priced_tape(spark, sf_dir), statistics=("price_mean", "price_std"))
     return out.select("trade_id", _r("price_mean"), _r("price_std"))
 
 
 @query
 def volume_statistics(spark, sf_dir):
-    out = engine_windows(lineitem_tape(spark, sf_dir), statistics=("volume_mean", "volume_std"))
+    out = engine_windows(priced_tape(spark, sf_dir), statistics=("volume_mean", "volume_std"))
     return out.select("trade_id", _r("volume_mean", 5), _r("volume_std", 5))
 
 
 @query
 def trimmed_median(spark, sf_dir):
-    out = engine_windows(lineitem_tape(spark, sf_dir), statistics=("volume_median",))
+    out = engine_windows(priced_tape(spark, sf_dir), statistics=("volume_median",))
     return out.select("trade_id", _r("volume_median"))
 
 
@@ -298,20 +298,20 @@ def previous_price(spark, sf_dir):
 
 @query
 def count_within(spark, sf_dir):
-    out = engine_windows(lineitem_tape(spark, sf_dir), statistics=())
+    out = engine_windows(priced_tape(spark, sf_dir), statistics=())
     return out.select("trade_id", F.col("velocity").cast("long"))
 
 
 @query
 def side_imbalance(spark, sf_dir):
-    out = engine_windows(lineitem_tape(spark, sf_dir), statistics=())
+    out = engine_windows(priced_tape(spark, sf_dir), statistics=())
     return out.select("trade_id", F.col("buys").cast("long"), F.col("sells").cast("long"))
 
 
 @query
 def recent_rows(spark, sf_dir):
     """The trades of the last two seconds, as rows; chunks are cut, so that some look back into the one before."""
-    out = rolling_recent(lineitem_tape(spark, sf_dir), 2.0, rows_per_task=CUT_ROWS)
+    out = rolling_recent(priced_tape(spark, sf_dir), 2.0, rows_per_task=CUT_ROWS)
     names, prices = F.transform("recent", lambda r: r["trade_id"]), F.transform("recent", lambda r: r["price"])
     return out.select(
         "trade_id", F.size("recent").cast("long").alias("n"), F.md5(F.array_join(names, ",")).alias("trades"),
@@ -333,13 +333,13 @@ def wash_self_trades(spark, sf_dir):
 
 @query
 def online_model_features(spark, sf_dir):
-    out = isolation_features(lineitem_tape(spark, sf_dir))
+    out = isolation_features(priced_tape(spark, sf_dir))
     return out.select("trade_id", _r("f_price_z", 5), _r("f_vol_z", 5), _r("f_ret"), "f_velocity")
 
 
 @query
 def trade_model_features(spark, sf_dir):
-    out = model_features(lineitem_tape(spark, sf_dir))
+    out = model_features(priced_tape(spark, sf_dir))
     return out.select("trade_id", *[_r(name, 5) for name in FEATURES])
 
 
@@ -453,13 +453,13 @@ def top_critical_symbols(spark, sf_dir):
 
 @query
 def symbol_summary(spark, sf_dir):
-    tape = lineitem_tape(spark, sf_dir)
+    tape = priced_tape(spark, sf_dir)
     return A.symbol_summary(tape, B.batch_flags(B.batch_features(tape)).filter("anomalous"))
 
 
 @query
 def sparkline(spark, sf_dir):
-    out = A.sparkline(lineitem_tape(spark, sf_dir))
+    out = A.sparkline(priced_tape(spark, sf_dir))
     total = F.aggregate("spark", F.lit(0.0), lambda acc, x: acc + x)
     return out.select(
         "symbol", F.size("spark").cast("long").alias("points"), F.get("spark", F.lit(0)).alias("oldest"),
@@ -515,7 +515,7 @@ def fixed_histogram(spark, sf_dir):
 
 @query
 def latest_tape(spark, sf_dir):
-    tape = lineitem_tape(spark, sf_dir)
+    tape = priced_tape(spark, sf_dir)
     out = A.latest_tape(tape, B.batch_flags(B.batch_features(tape)).filter("anomalous"))
     return out.select("trade_id", "symbol", _r("price"), "quantity", "side", "notional", "anomalous", "event_us")
 
@@ -618,7 +618,7 @@ def _sweep_rulesets() -> dict[str, Rules]:
 
 @query
 def ruleset_sweep(spark, sf_dir):
-    windows = engine_windows(lineitem_tape(spark, sf_dir), statistics=("price_mean", "price_std", "volume_median"))
+    windows = engine_windows(priced_tape(spark, sf_dir, "label"), statistics=("price_mean", "price_std", "volume_median"))
     out = G.ruleset_sweep(windows, _sweep_rulesets())
     return out.select("ruleset", "total_events", "detected_events", "false_alarm_episodes", _r("f1"))
 
@@ -626,7 +626,7 @@ def ruleset_sweep(spark, sf_dir):
 @query
 def ruleset_sweep_with_cooldown(spark, sf_dir):
     """Rulesets judged on the alerts that survive the cooldown."""
-    windows = engine_windows(lineitem_tape(spark, sf_dir), statistics=("price_mean", "price_std", "volume_median"))
+    windows = engine_windows(priced_tape(spark, sf_dir, "label"), statistics=("price_mean", "price_std", "volume_median"))
     out = G.ruleset_sweep(windows, _sweep_rulesets(), cooldown_alerts=True)
     return out.select("ruleset", "total_events", "detected_events", "false_alarm_episodes", _r("f1"))
 
@@ -634,7 +634,7 @@ def ruleset_sweep_with_cooldown(spark, sf_dir):
 @query
 def sweep_spread(spark, sf_dir):
     """Mean and spread of F1 over four stretches of the tape."""
-    windows = engine_windows(lineitem_tape(spark, sf_dir), statistics=("price_mean", "price_std", "volume_median"))
+    windows = engine_windows(priced_tape(spark, sf_dir, "label"), statistics=("price_mean", "price_std", "volume_median"))
     quarter = F.pmod(F.floor(F.split("trade_id", "-")[0].cast("long") / 4096), F.lit(4)).cast("string")
     out = G.sweep_spread(G.ruleset_sweep(windows, _sweep_rulesets(), tapes=quarter))
     return out.select("ruleset", _r("f1_mean"), _r("f1_std"), "runs")
@@ -643,7 +643,7 @@ def sweep_spread(spark, sf_dir):
 @query
 def scan_row_agreement(spark, sf_dir):
     """Which flagged rows the rolling and the whole-history scan share, symbol by symbol."""
-    tape = lineitem_tape(spark, sf_dir)
+    tape = priced_tape(spark, sf_dir)
     rolling = B.batch_flags(B.batch_features(tape.select("trade_id", "event_us", "symbol", "price", "quantity"))).filter("anomalous")
     return G.row_agreement(rolling, B.history_scan(tape))
 
@@ -672,7 +672,7 @@ def isolation_samples(spark, sf_dir):
 
 @query
 def scan_crosscheck(spark, sf_dir):
-    tape = lineitem_tape(spark, sf_dir)
+    tape = priced_tape(spark, sf_dir)
     rolling = B.batch_flags(B.batch_features(tape)).filter("anomalous")
     return G.scan_crosscheck(rolling, B.history_scan(tape))
 
@@ -681,13 +681,13 @@ def scan_crosscheck(spark, sf_dir):
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled_matrix(lineitem_tape(spark, sf_dir))
+    return labelled_matrix(priced_tape(spark, sf_dir, "label"))
 
 
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deterministic score with ties for the metric queries."""
     score = F.floor(F.col("quantity") / 1000.0 + F.when(F.col("price") > 130, 5).otherwise(0)) / F.lit(20.0)
-    return lineitem_tape(spark, sf_dir).select(
+    return priced_tape(spark, sf_dir, "label").select(
         F.col("label").isNotNull().cast("int").alias("y"),
         score.alias("score"),
         (score >= 0.25).cast("int").alias("predicted"),
@@ -771,19 +771,19 @@ CUT_ROWS = 2_000
 
 @query
 def cut_price_statistics(spark, sf_dir):
-    out = engine_windows(lineitem_tape(spark, sf_dir), statistics=("price_mean", "price_std"), rows_per_task=CUT_ROWS)
+    out = engine_windows(priced_tape(spark, sf_dir), statistics=("price_mean", "price_std"), rows_per_task=CUT_ROWS)
     return out.select("trade_id", _r("price_mean"), _r("price_std"))
 
 
 @query
 def cut_batch_features(spark, sf_dir):
-    out = B.batch_features(lineitem_tape(spark, sf_dir), rows_per_task=CUT_ROWS)
+    out = B.batch_features(priced_tape(spark, sf_dir), rows_per_task=CUT_ROWS)
     return out.select("trade_id", _r("price_mean"), _r("price_std"), _r("price_z", 5), _r("vol_ratio"), "velocity")
 
 
 @query
 def cut_model_features(spark, sf_dir):
-    out = model_features(lineitem_tape(spark, sf_dir), rows_per_task=CUT_ROWS)
+    out = model_features(priced_tape(spark, sf_dir), rows_per_task=CUT_ROWS)
     return out.select("trade_id", *[_r(name, 5) for name in FEATURES])
 
 

@@ -22,12 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lineitem_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: What windows over prices, sizes and sides read.
+PRICED = ("symbol", "trade_id", "event_us", "price", "quantity", "side")
+
+
+def priced_tape(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The tape without accounts, so without the orders: Arrow steps get no column that nobody reads."""
+    return lineitem_tape(spark, sf_dir, accounts=False).select(*PRICED, *more)
+
+
+def lineitem_tape(spark: SparkSession, sf_dir: str, accounts: bool = True) -> DataFrame:
+    """Without ``accounts`` the account is null and the orders are not read (every line item has one)."""
     item = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_linestatus"
     )
-    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    joined = item.join(order, item.l_orderkey == order.o_orderkey)
+    if accounts:
+        order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        joined = item.join(order, item.l_orderkey == order.o_orderkey)
+    else:
+        joined = item.withColumn("o_custkey", F.lit(None).cast("long"))
     return joined.selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
         " cast(round(l_extendedprice * 100) as bigint)) as trade_id",
