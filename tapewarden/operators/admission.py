@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,27 @@ def _sessions(hits: DataFrame, rows_per_task: int) -> DataFrame:
     return marked.drop(CHUNK, HALO, "_gap", "_start", "_base")
 
 
+def admitted(times: np.ndarray, per_minute: int, held: deque[int]) -> np.ndarray:
+    """Which of the sorted ``times`` are accepted; ``held``, the accepted ones of the last minute, is carried on.
+
+    Free places are filled at once, and where there is none a sorted search finds the first hit after the oldest
+    accepted one has left: rejected hits cost nothing, so the work follows the accepted ones.
+    """
+    accepted = np.zeros(len(times), dtype=bool)
+    at = 0
+    while at < len(times):
+        while held and held[0] < times[at] - _MINUTE_US:
+            held.popleft()
+        free = per_minute - len(held)
+        if free <= 0:
+            at += int(np.searchsorted(times[at:], held[0] + _MINUTE_US, side="right"))
+            continue
+        accepted[at : at + free] = True
+        held.extend(times[at : at + free].tolist())
+        at += free
+    return accepted
+
+
 def admission(hits: DataFrame, per_minute: int = 600, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Add ``accepted`` to ``hits(client, event_us, hit_id, …)``; ``per_minute <= 0`` accepts all."""
     if per_minute <= 0:
@@ -52,14 +74,8 @@ def admission(hits: DataFrame, per_minute: int = 600, rows_per_task: int = ROWS_
     def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: deque[int] = deque()
         for batch in batches:
-            verdicts = []
-            for now in batch["event_us"].tolist():
-                while held and held[0] < now - _MINUTE_US:
-                    held.popleft()
-                verdicts.append(len(held) < per_minute)
-                if verdicts[-1]:
-                    held.append(now)
-            yield batch.assign(accepted=verdicts)
+            accepted = admitted(batch["event_us"].to_numpy(), per_minute, held)
+            yield batch.assign(accepted=accepted)
 
     keys = ["client", "_session"]
     schema = T.StructType([*sessions.schema.fields, T.StructField("accepted", T.BooleanType())])

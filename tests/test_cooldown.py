@@ -1,11 +1,12 @@
 import random
+from collections import deque
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from checker import greedy
-from tapewarden.operators.admission import admission
+from tapewarden.operators.admission import admission, admitted
 from tapewarden.operators.cooldown import _NEVER, Steps, chain_exits, compose, cooldown, emitted_positions, mark_cooldown, pass_through
 
 times = st.lists(st.integers(0, 200), min_size=1, max_size=60, unique=True).map(sorted)
@@ -83,6 +84,21 @@ def test_cooldown_in_one_chunk_and_in_many(spark):
     assert cooldown(df, 0.0).count() == len(rows)
 
 
+@given(st.lists(st.integers(0, 400), max_size=80).map(sorted), st.integers(1, 6), st.integers(1, 20))
+@settings(max_examples=300, deadline=None)
+def test_admission_by_jumps_equals_one_hit_at_a_time(ts, limit, size):
+    ts = [t * 1_000_000 for t in ts]
+    want, taken = [], []
+    for t in ts:
+        want.append(sum(x >= t - 60_000_000 for x in taken) < limit)
+        if want[-1]:
+            taken.append(t)
+    held, got = deque(), []
+    for k in range(0, len(ts), size):
+        got += admitted(np.array(ts[k : k + size]), limit, held).tolist()
+    assert got == want
+
+
 def test_admission_boundary_and_chunks(spark):
     minute = 60_000_000
     hits = [("a", 0, "1"), ("a", 1, "2"), ("a", 2, "3"), ("a", 3, "4"), ("b", 3, "5"), ("a", minute, "6"), ("a", minute + 1, "7")]
