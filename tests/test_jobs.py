@@ -6,6 +6,7 @@ from conftest import SMALL, tape, trade
 from pyspark.sql import functions as F
 
 from tapewarden import Rules, run_engine
+from tapewarden.operators.features import FEATURES
 from tapewarden.plans.backtest import backtest, nightly
 from tapewarden.plans.tapes import lineitem_tape
 from tapewarden.plans.training import score_history, train
@@ -173,7 +174,8 @@ def test_training_artifacts(spark, tmp_path):
     best = result["models"][result["champion"]]
     assert best["roc_auc"] > 0.7
     assert json.loads(spark.read.text(str(tmp_path / "metrics")).first()["value"])["champion"] == result["champion"]
-    assert "| Model | Precision |" in "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "card")).collect())
+    card = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "card")).collect())
+    assert "fitted on 280 trades" in card and all(f"`{name}`" in card for name in FEATURES)
     scored = score_history(spark, df.drop("label"), str(tmp_path))
     assert scored.filter("predicted = 1").count() > 0
     assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
