@@ -122,6 +122,9 @@ def zscore_column() -> Column:
     return F.when(spread > 1e-12, (F.col("price") - F.col("price_mean")) / spread).otherwise(0.0)
 
 
+# Fixed values from here on: names of detectors and details, severities, and the texts of reasons.
+
+
 def _zscore(rules: Rules) -> Verdict:
     limit, z = rules.zscore.price_threshold, zscore_column()
     size = F.abs(z)

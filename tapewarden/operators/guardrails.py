@@ -29,6 +29,9 @@ def guardrail_code(rules: GuardrailRules | None = None) -> Column:
     )
 
 
+# Codes and texts of rejections.
+
+
 def guardrail_reason(code: Column, rules: GuardrailRules | None = None) -> Column:
     rules = rules or GuardrailRules()
     return (

@@ -636,6 +636,15 @@ for _name in ("scan_parquet_trades", "scan_json_trades"):
     ORACLES[_name] = (
         _with(TAPE) + "select trade_id, event_us, symbol, round(price, 6) as price, quantity, side from tape"
     )
+ORACLES["lake_rewritten_day"] = _with(
+    EVENTS,
+    _event_batch,
+    """dated as (select strftime(make_timestamp(event_us), '%Y-%m-%d') as dt, severity from anom),
+    second as (select max(dt) as day from (select distinct dt from dated order by dt limit 2))""",
+) + (
+    "select dt, count(*) as n, count(*) filter (severity = 'critical') as critical, dt = day as rewritten"
+    " from dated, second where dt <> day or severity = 'critical' group by dt, day"
+)
 ORACLES["lake_partitions"] = (
     _flags + "select strftime(make_timestamp(event_us), '%Y-%m-%d') as dt, detector, count(*) as n from anom group by 1, 2"
 )

@@ -12,7 +12,8 @@ from tapewarden.plans.tapes import lineitem_tape
 from tapewarden.plans.training import score_history, train
 from tapewarden.schema import TRADE
 from tapewarden.sinks import console_lines, fan_out, quality_checks, quality_gate, record_run, run_freshness
-from tapewarden.sources.scans import replay_trades, scan_job_runs
+from tapewarden.operators.analytics import audit_rollup
+from tapewarden.sources.scans import replay_trades, scan_audit, scan_job_runs
 from tapewarden.sources.tape import normalise
 from tapewarden.streaming.engine import alerts_to_json, decoded_stream, fan_out_batches, stream_alerts, stream_engine, use_rocksdb
 from tapewarden.streaming.windows import latest_updates, stream_window_flags, upsert_updates
@@ -62,6 +63,19 @@ def test_run_log(spark, tmp_path):
     assert run_freshness(runs.limit(0)).first()["status"] == "unknown"
 
 
+def test_audit_log_scan(spark, tmp_path):
+    """The declared columns only; lines that are no JSON become empty rows."""
+    lines = [
+        {"ts": "2026-01-01T15:00:00Z", "level": "INFO", "msg": "audit", "action": "trade_ingested", "outcome": "ok", "client": "a", "audit": True, "more": 1},
+        {"ts": "2026-01-01T15:00:01Z", "action": "trade_rejected", "outcome": "rejected", "client": "a", "code": "price_bound"},
+    ]
+    (tmp_path / "audit.jsonl").write_text("\n".join([*map(json.dumps, lines), "not json"]))
+    log = scan_audit(spark, str(tmp_path / "audit.jsonl"))
+    assert "more" not in log.columns and log.count() == 3
+    top = audit_rollup(log.filter("action is not null")).filter("action is null and outcome is null and client is null and code is null")
+    assert [r["n"] for r in top.collect()][-1:] == [2]
+
+
 def test_fan_out_survives_a_failing_sink(spark):
     seen = []
 
