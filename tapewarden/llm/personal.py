@@ -2,7 +2,8 @@
 
 1. *Base patterns* (e-mail, IP address, card, phone) are exact and always stay.
 2. *Candidates* are base spans and looser ones: spelled-out e-mails, phones without a
-   plus sign, numbers beside telling words, names after titles or greetings.
+   plus sign, numbers beside telling words, names after titles or greetings, long runs of
+   letters and digits that may be keys or tokens.
 3. *Labelers* vote on each candidate (for, against or not at all): shape, base
    pattern, gazetteer, words before, words after. Their votes are noisy.
 4. *Expectation-maximisation* over the counts of vote patterns estimates, for each
@@ -18,6 +19,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ from tapewarden.llm.scratch import written
 from tapewarden.session import ship_package
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "name")
+KINDS = (*BASE_KINDS, "name", "secret")
 FOR, ABSTAIN, AGAINST = 1, 0, -1
 LABELERS = ("pattern", "shape", "gazetteer", "before", "after")
 #: Added spans need this probability.
@@ -43,6 +45,7 @@ TELLING = {
     "ip": ("ip", "host", "server", "address", "addr"),
     "card": ("card", "visa", "mastercard", "credit", "karte", "tarjeta", "carte", "number"),
     "phone": ("phone", "call", "tel", "mobile", "fax", "cell", "telefon", "telefono", "number"),
+    "secret": ("token", "key", "apikey", "api", "secret", "password", "passwd", "pwd", "bearer", "authorization", "credential", "clave", "schluessel"),
     "name": ("mr", "mrs", "ms", "dr", "herr", "frau", "senor", "senora", "madame", "monsieur", "dear", "name", "sincerely"),
 }
 MISLEADING = ("version", "v", "isbn", "order", "page", "chapter", "section", "id", "build", "release", "usd", "eur", "total")
@@ -67,9 +70,21 @@ _NAME = re.compile(rf"(?<!\w)(?:{_LEADS})\b\.?(?: [A-Z][a-zà-ÿ]{{1,20}}){{1,2}
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W_]+")
 
+#: Letters and digits in one run, at least one digit and one letter.
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,512}+(?![A-Za-z0-9_+/-])={0,2}")
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+# Beginnings of issued keys.
+_ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "sk-", "pk_", "xoxb-", "xoxp-", "eyJ", "AIza")
+
 Span = tuple[str, int, int]
 
 
+def entropy(run: str) -> float:
+    """Bits a character: random keys have over 3, words and counters fewer."""
+    share = [run.count(c) / len(run) for c in set(run)]
+    return -sum(p * math.log2(p) for p in share)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -116,6 +131,7 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
     if "dot" in lowered or (lowered and "." in lowered):
         passes.append(("email", _SPELLED))
     if _DIGIT.search(text):
+        passes.append(("secret", _SECRET))
         passes += [("ip", _IP), ("card", _CARD), ("phone", _PHONE), ("phone", _LOOSE_PHONE)]
     passes.append(("name", _NAME))
     for kind, pattern in passes:
@@ -158,6 +174,10 @@ def votes(kind: str, text: str, start: int, end: int, is_base: bool) -> tuple[in
         shape = FOR if luhn("".join(digits)) else AGAINST
     elif kind == "name":
         shape = FOR if len(set(span.split())) == len(span.split()) else AGAINST
+    elif kind == "secret":
+        bits = entropy(span)
+        shape = FOR if bits >= 3.2 and 0.1 <= len(digits) / len(span) <= 0.9 else AGAINST if bits < 2.8 else ABSTAIN
+        pattern = FOR if span.startswith(_ISSUED) else ABSTAIN
     elif kind == "phone":
         shape = FOR if span[0] in "+(" or len(digits) >= 9 else AGAINST if len(digits) == 8 and span.count("-") == 2 else ABSTAIN
     gazetteer = ABSTAIN
@@ -166,7 +186,17 @@ def votes(kind: str, text: str, start: int, end: int, is_base: bool) -> tuple[in
         gazetteer = FOR if any(w in FIRST_NAMES for w in words) else ABSTAIN
     elif kind == "email":
         gazetteer = FOR if any(w in MAIL_HOSTS or w in FIRST_NAMES for w in words) else ABSTAIN
+    elif kind == "secret":
+        # digests and keys have fixed lengths in one alphabet; words joined by signs do not
+        fixed = _HEX.fullmatch(span) is not None and len(span) in (32, 40, 48, 56, 64, 96, 128)
+        mixed_case = any(c.isupper() for c in span) and any(c.islower() for c in span) and not set(span) & set("-/")
+        gazetteer = FOR if fixed or mixed_case else AGAINST if any(len(w) > 2 and w.isalpha() for w in re.split("[-_/=+]", span)) else ABSTAIN
     told = FOR if any(w in TELLING[kind] for w in before) else AGAINST if any(w in MISLEADING for w in before[-2:]) else ABSTAIN
+    if kind == "secret":
+        opened, closed = text[max(0, start - 1) : start], text[end : end + 1]
+        quoted = opened == closed != "" and opened in "\"'`"
+        later = FOR if quoted or text[max(0, start - 3) : start].rstrip().endswith(("=", ":")) else AGAINST if closed in (".", "/") else ABSTAIN
+        return pattern, shape, gazetteer, told, later
     later = FOR if any(w in TELLING[kind] for w in after) else AGAINST if kind == "name" and text[end : end + 1].isalnum() else ABSTAIN
     return pattern, shape, gazetteer, told, later
 
@@ -181,6 +211,11 @@ def features(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     known = int(any(w in FIRST_NAMES or w in MAIL_HOSTS for w in _WORD.findall(span.lower())))
     edge = int(start == 0 or text[start - 1] in "\n:,;(") + 2 * int(end == len(text) or text[end] in "\n,.;)")
     valid = int(luhn("".join(c for c in span if c in "0123456789"))) if kind == "card" else int("+" in span or "@" in span)
+    if kind == "secret":
+        signs = len(set(span) & set("_+/=-"))
+        known = int(_HEX.fullmatch(span) is not None)
+        edge = int(text[max(0, start - 1) : start] in ("\"", "'", "`")) + 2 * int(text[end : end + 1] in ("\"", "'", "`"))
+        valid = min(int(entropy(span)), 5)
     return min(len(span) // 6, 5), min(digits // 3, 6), min(signs, 3), context, known, edge, int(any(w in TELLING[kind] for w in after)), valid
 
 
@@ -299,7 +334,8 @@ def personal_data(documents: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every row of ``documents(doc_id, text, …)``.
 
     Counts and ``base_sha256`` are of the base spans; ``spans`` lists those and the added ones as
-    ``kind:start:end`` by kind, then start (code points, end exclusive). Added spans touch no base span.
+    ``kind:start:end`` by kind, then start (code points, end exclusive). Added spans touch no base span; a key or token
+    is the run itself, without quotes.
 
     A null text is empty: no spans, an empty list. Repeated rows are scanned each; a row without
     doc_id too. Other columns are ignored; an empty table gives an empty result.
