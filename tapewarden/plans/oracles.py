@@ -261,7 +261,9 @@ ORACLES: dict[str, str] = {
     + "select trade_id, event_us, symbol, round(price, 6) as price, quantity, side from tape where o % 13 <> 0 and o % 17 <> 0",
     "decode_rejects": _with(TAPE) + "select o % 13 <> 0 and o % 17 <> 0 as valid, count(*) as n from tape group by 1",
     "normalise_trades": _with(TAPE)
-    + "select trade_id, symbol, 'buy' as side, 'USD' as currency, round(price * quantity, 4) as notional, event_us from tape",
+    + "select trade_id, symbol, case when split_part(trade_id, '-', 1)::bigint % 5 = 0 then 'buy' else side end as side,"
+    " case when split_part(trade_id, '-', 1)::bigint % 7 = 0 then 'USD' else 'EUR' end as currency,"
+    " round(price * quantity, 4) as notional, event_us from tape",
     "event_second_counts": _with(TAPE) + "select event_us // 1000000 as ts_seconds, count(*) as n from tape group by 1",
     "severity_ranks": _flags
     + "select severity, cast(case severity when 'low' then 0 when 'medium' then 1 when 'high' then 2 else 3 end as bigint)"

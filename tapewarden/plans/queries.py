@@ -84,13 +84,14 @@ def decode_rejects(spark, sf_dir):
 
 
 def _untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols in lower case between spaces; every fifth order without a side, every seventh without a currency."""
     tape = lineitem_tape(spark, sf_dir)
-    loose = F.concat(F.lit("  "), F.lower("symbol"), F.lit(" "))
+    order = F.split("trade_id", "-")[0].cast("long")
     return _timed(tape).withColumns(
         {
-            "symbol": loose,
-            "side": F.when(F.col("side") == "buy", F.upper("side")),
-            "currency": F.lit(None).cast("string"),
+            "symbol": F.concat(F.lit("  "), F.lower("symbol"), F.lit(" ")),
+            "side": F.when(order % 5 != 0, F.col("side")),
+            "currency": F.when(order % 7 != 0, F.lit("EUR")),
         }
     )
 
