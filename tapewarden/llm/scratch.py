@@ -2,31 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
+from tapewarden.operators.split import CLEANUP, written
 
-from pyspark.sql import DataFrame
-
-from tapewarden.operators.split import ensure_checkpoint_dir
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back: the lineage ends there.
-
-    Executors can be lost at any time, the files stay. The driver's file system
-    removes them when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(hadoop).deleteOnExit(folder)
-    # what this job shuffled is not needed once the table is there
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["CLEANUP", "written"]

@@ -17,6 +17,7 @@ def stream_runs(
     order: Sequence[str] = ORDER,
     keys: Sequence[str] = (),
     rows_per_task: int = ROWS_PER_TASK,
+    rulesets: Sequence[str] = (),
 ) -> DataFrame:
     """Maximal runs of equal state in stream order, over all symbols.
 
@@ -25,40 +26,49 @@ def stream_runs(
     order is one group, so it is cut by rank like a hot symbol: one halo row
     tells a chunk whether its first row starts a run, and the run numbers of a
     chunk start after the runs of the chunks before it. ``keys`` separates independent streams.
+
+    With ``rulesets``, ``flagged`` is an array with one entry for each of them. A row is ordered once for all, and
+    the runs come with ``ruleset``.
     """
+    flagged = F.col("flagged")
+    if rulesets:
+        flagged = F.array(*[F.coalesce(flagged[i], F.lit(False)) for i in range(len(rulesets))])
+    else:
+        flagged = F.array(F.coalesce(flagged, F.lit(False)))
     # read twice below (count, then rows), and whatever flagged the rows is dear
-    slim = checkpointed(
-        records.select(*keys, *order, "label", F.coalesce("flagged", F.lit(False)).alias("flagged"))
-    )
+    slim = checkpointed(records.select(*keys, *order, "label", flagged.alias("flagged")))
     cut, group, was_cut = split_by_rank(slim, keys, order, halo=1, rows_per_task=rows_per_task)
     within = Window.partitionBy(*group).orderBy(*order)
-    state = F.struct("label", F.when(F.col("label").isNull(), F.col("flagged")).alias("flagged"))
-    starts = F.when(F.col(HALO), 0).when(F.col("_state").eqNullSafe(F.col("_previous")), 0).otherwise(1)
-    numbered = (
-        cut.withColumn("_state", state)
-        .withColumn("_previous", F.lag("_state").over(within))
-        .withColumn("_start", starts)
-        .withColumn("run", F.sum("_start").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-        .filter(~F.col(HALO))
-    )
+    upto, last = within.rowsBetween(Window.unboundedPreceding, 0), F.col("_previous")
+    names, several = rulesets or [""], ["ruleset"] if rulesets else []
+    numbered = cut.withColumn("_previous", F.lag(F.struct("label", "flagged")).over(within))
+    starts = {}
+    for i in range(len(names)):
+        same = F.col("label").isNotNull() | (F.col("flagged")[i] == last["flagged"][i])
+        same = last.isNotNull() & F.col("label").eqNullSafe(last["label"]) & same
+        starts[f"_start{i}"] = F.when(F.col(HALO) | same, 0).otherwise(1)
+    numbered = numbered.withColumns(starts).withColumns({f"_run{i}": F.sum(f"_start{i}").over(upto) for i in range(len(names))})
+    told = [F.struct(F.lit(n).alias("ruleset"), F.col(f"_run{i}").alias("run"), F.col("flagged")[i].alias("flagged")) for i, n in enumerate(names)]
+    rows = numbered.filter(~F.col(HALO)).select(*keys, CHUNK, "label", F.inline(F.array(*told)))
+    # all rows of a run have its label
+    totals = lambda n: [F.bool_or("flagged").alias("flagged"), n.alias("rows")]
+    runs = rows.groupBy(*keys, CHUNK, *several, "run", "label").agg(*totals(F.count(F.lit(1))))
     if was_cut:
-        earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        # one row per chunk
-        base = numbered.groupBy(*keys, CHUNK).agg(F.sum("_start").alias("_runs"))
-        base = base.select(*keys, CHUNK, F.coalesce(F.sum("_runs").over(earlier), F.lit(0)).alias("_base"))
-        numbered = numbered.join(base, [*keys, CHUNK]).withColumn("run", F.col("run") + F.col("_base"))
-    return numbered.groupBy(*keys, "run").agg(
-        F.any_value("label").alias("label"),
-        F.bool_or("flagged").alias("flagged"),
-        F.count(F.lit(1)).alias("rows"),
-    )
+        runs = checkpointed(runs)
+        earlier = Window.partitionBy(*keys, *several).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        # one row per chunk and ruleset
+        base = runs.groupBy(*keys, *several, CHUNK).agg(F.max("run").alias("_runs"))
+        base = base.select(*keys, *several, CHUNK, F.coalesce(F.sum("_runs").over(earlier), F.lit(0)).alias("_base"))
+        runs = runs.join(base, [*keys, *several, CHUNK]).withColumn("run", F.col("run") + F.col("_base"))
+        runs = runs.groupBy(*keys, *several, "run", "label").agg(*totals(F.sum("rows")))
+    return runs.select(*keys, *several, "run", "label", "flagged", "rows")
 
 
 def engine_runs(tape: DataFrame, rules: Rules | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Runs of a labelled tape, a trade being flagged if it has an alert after the cooldown."""
     from .alerts import run_engine
 
-    alerted = run_engine(tape, rules, rows_per_task=rows_per_task).select("trade_id").distinct()
+    alerted = run_engine(tape, rules, rows_per_task=rows_per_task, columns=()).select("trade_id").distinct()
     records = tape.select(*ORDER, "label").join(alerted.withColumn("flagged", F.lit(True)), "trade_id", "left")
     return stream_runs(records, rows_per_task=rows_per_task)
 
@@ -122,28 +132,32 @@ def ruleset_sweep(
     from .cooldown import mark_cooldown
     from .detectors import enabled_detectors
 
-    keys = ["ruleset"] if tapes is None else ["ruleset", "tape"]
+    keys = [] if tapes is None else ["tape"]
     windows = windows.withColumn("tape", F.lit("") if tapes is None else tapes)
     seconds = {rules.alert_cooldown_seconds for rules in rulesets.values()}
     if cooldown_alerts and len(seconds) > 1:
         raise ValueError(f"one cooldown for all rulesets of a sweep, not {sorted(seconds)}")
     told = []
-    for name, rules in rulesets.items():
+    for rules in rulesets.values():
         fires = [(d.name, F.coalesce(d.build(rules).fires, F.lit(False))) for d in enabled_detectors(rules)]
-        names = F.filter(F.array(*[F.when(f, F.lit(n)) for n, f in fires]), lambda n: n.isNotNull()) if fires else F.array().cast("array<string>")
-        told.append(F.struct(F.lit(name).alias("ruleset"), names.alias("detectors")))
-    # read twice with a cooldown, and the windows are dear
-    slim = windows.select(*ORDER, "symbol", "tape", "label", F.inline(F.array(*told)))
-    slim = checkpointed(slim) if cooldown_alerts else slim
-    records = slim.withColumn("flagged", F.size("detectors") > 0)
+        names = F.filter(F.array(*[F.when(f, F.lit(n)) for n, f in fires]), lambda n: n.isNotNull()) if fires else F.array()
+        told.append(names.cast("array<string>"))
+    # a trade stays one row, whatever the number of rulesets
+    slim = windows.select(*ORDER, "symbol", "tape", "label", F.array(*told).alias("told"))
+    flagged = [F.size(F.col("told")[i]) > 0 for i in range(len(told))]
     if cooldown_alerts:
-        fired = slim.select(
+        slim = checkpointed(slim)  # read twice, and the windows are dear
+        lines = F.array(*[F.struct(F.lit(n).alias("ruleset"), F.col("told")[i].alias("detectors")) for i, n in enumerate(rulesets)])
+        fired = slim.select("tape", *ORDER, "symbol", F.inline(lines)).select(
             "ruleset", "tape", *ORDER, F.concat_ws("\u0001", "ruleset", "tape", "symbol").alias("symbol"), F.explode("detectors").alias("detector")
         )
-        kept = mark_cooldown(fired, seconds.pop(), rows_per_task).filter("emitted").select("ruleset", "trade_id").distinct()
-        records = slim.join(kept.withColumn("flagged", F.lit(True)), ["ruleset", "trade_id"], "left")
-    runs = stream_runs(records, keys=keys, rows_per_task=rows_per_task)
-    return event_metrics(runs, keys)
+        kept = mark_cooldown(fired, seconds.pop(), rows_per_task).filter("emitted")
+        kept = kept.groupBy("trade_id").agg(F.collect_set("ruleset").alias("kept"))
+        slim = slim.join(kept, "trade_id", "left")
+        flagged = [F.coalesce(F.array_contains("kept", n), F.lit(False)) for n in rulesets]
+    records = slim.withColumn("flagged", F.array(*flagged))
+    runs = stream_runs(records, keys=keys, rows_per_task=rows_per_task, rulesets=list(rulesets))
+    return event_metrics(runs, ["ruleset", *keys])
 
 
 def sweep_spread(metrics: DataFrame, by: str = "ruleset") -> DataFrame:

@@ -26,6 +26,35 @@ def plan(df) -> str:
     return out.getvalue()
 
 
+def sweep_tape(spark):
+    trades = [trade(offset=i * 0.05 if i % 700 < 300 else i * 0.4, price=100.0 + (8 if i % 97 == 0 else 0) + i % 3, quantity=2000.0 if i % 131 == 0 else 100.0,
+                    label="price_spike" if i % 97 == 0 else None) for i in range(1500)]
+    return tape(spark, trades)
+
+
+def test_sweep_keeps_a_trade_once(spark, monkeypatch):
+    rows = sweep_tape(spark)
+    base = Rules().replace(price_spike={"enabled": False}, wash_trade={"enabled": False}, spoofing={"enabled": False})
+    sets = {"a": base, "b": base.replace(zscore={"price_threshold": 2.0}), "c": base.replace(velocity={"enabled": False})}
+    windows = engine_windows(rows, statistics=("price_mean", "price_std", "volume_median"))
+    for cooled in (False, True):
+        kept = []
+        with monkeypatch.context() as patched:
+            patched.setattr(G, "checkpointed", lambda df: (kept.append(out := checkpointed(df)), out)[1])
+            together = {r["ruleset"]: r.asDict() for r in G.ruleset_sweep(windows, sets, 250, cooled).collect()}
+            assert max(k.count() for k in kept if "event_us" in k.columns) == rows.count()
+        for name, rules in sets.items():
+            alone = G.ruleset_sweep(windows, {name: rules}, 10_000, cooled).first().asDict()
+            assert together[name] == alone
+        assert len({(r["detected_events"], r["false_alarm_episodes"]) for r in together.values()}) > 1
+
+
+def test_checkpoints_are_columns(spark):
+    assert all(f.endswith(".parquet") for f in checkpointed(sweep_tape(spark)).inputFiles())
+    untyped = spark.range(3).withColumn("nothing", F.lit(None))
+    assert checkpointed(untyped).count() == 3
+
+
 def test_a_trade_is_judged_once(spark):
     """Spark filters by the size of an array that it unfolds, and so computes the array once more."""
     from tapewarden.operators.alerts import candidate_alerts, run_engine
