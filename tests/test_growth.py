@@ -26,6 +26,35 @@ def plan(df) -> str:
     return out.getvalue()
 
 
+def test_velocity_over_blocks(spark):
+    """Windows across the edges of blocks; no copy of a count for each second that it reaches."""
+    edge = B.BLOCK_SECONDS
+    at = [0, 1, 1, edge - 5, edge - 1, edge - 1, edge, edge + 4, edge + 5, 3 * edge, -1, -edge, None]
+    rows = [(f"t{i}", "A" if i % 3 else "B", None if s is None else s * 1_000_000) for i, s in enumerate(at)]
+    out = B.batch_velocity(spark.createDataFrame(rows, "trade_id string, symbol string, event_us long"))
+    assert "sequence" not in plan(out) and "Window" in plan(out)
+    expected = set()
+    for _, symbol, us in rows:
+        if us is not None:
+            s = us // 1_000_000
+            expected.add((symbol, s, sum(y == symbol and u is not None and s - 5 <= u // 1_000_000 <= s for _, y, u in rows)))
+    found = [tuple(r) for r in out.collect()]
+    assert sorted(r for r in found if r[1] is not None) == sorted(expected)
+    assert [r[2] for r in found if r[1] is None] == [6]
+
+
+def test_trades_meet_before_they_are_in_windows(spark):
+    trades = [trade(offset=i * 0.7, price=100.0 + i % 9, symbol="AB"[i % 2]) for i in range(3000)]
+    rows = tape(spark, trades).withColumn("timestamp", F.timestamp_micros("event_us")).repartition(8)
+    out = B.window_baselines(rows)
+    text = plan(out)
+    below = text[text.index("Expand") :] if "Expand" in text else text[text.index("Generate") :]
+    assert "Exchange hashpartitioning(symbol" in below
+    by_hand = rows.groupBy(F.window("timestamp", "30 seconds", "5 seconds"), "symbol").agg(F.count("*").alias("n"), F.max("price").alias("top"))
+    same = out.join(by_hand, ["window", "symbol"]).filter("trade_count = n and price_max = top").count()
+    assert same == out.count() == by_hand.count()
+
+
 def sweep_tape(spark):
     trades = [trade(offset=i * 0.05 if i % 700 < 300 else i * 0.4, price=100.0 + (8 if i % 97 == 0 else 0) + i % 3, quantity=2000.0 if i % 131 == 0 else 100.0,
                     label="price_spike" if i % 97 == 0 else None) for i in range(1500)]
