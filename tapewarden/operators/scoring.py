@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .split import ROWS_PER_TASK, running_sums
+from .split import ROWS_PER_TASK, checkpointed, running_sums
 
 
 def _ratio(top, bottom):
@@ -80,6 +80,8 @@ def area_metrics(rows: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFra
 
 def model_metrics(rows: DataFrame, model: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """All metrics of one model as one row."""
+    # read three times, and the model that scored them is dear
+    rows = checkpointed(rows.select("y", "score", "predicted"))
     ratios = precision_recall_f1(confusion(rows))
     areas = area_metrics(rows, rows_per_task)
     columns = ["model", "precision", "recall", "f1", "roc_auc", "pr_auc", "tn", "fp", "fn", "tp"]

@@ -84,6 +84,52 @@ def test_checkpoints_are_columns(spark):
     assert checkpointed(untyped).count() == 3
 
 
+def test_a_model_scores_a_row_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        calls.add(1)
+        return float(i % 7)
+
+    rows = spark.range(200).select((F.col("id") % 2).cast("int").alias("y"), score("id").alias("score"))
+    out = model_metrics(rows.withColumn("predicted", (F.col("score") > 3).cast("int")), "m")
+    assert out.first()["tp"] + out.first()["fn"] == 100
+    assert calls.value == 200
+
+
+def test_features_are_computed_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def feature(i):
+        calls.add(1)
+        return float(i)
+
+    rows = spark.range(1000).select(F.col("id").alias("event_us"), F.col("id").cast("string").alias("trade_id"), feature("id").alias("f"))
+    train, test = time_split(rows, 0.3, rows_per_task=100)
+    assert (train.count(), test.count(), train.agg(F.max("f")).first()[0]) == (700, 300, 699.0)
+    assert calls.value == 1000
+
+
+def test_forest_paths(spark):
+    """Scores against a walk from the root, row by row; leaves at all depths, equal and missing values."""
+    rng = np.random.default_rng(3)
+    rows = np.round(rng.normal(size=(90, 3)), 1)
+    rows[:, 2] = 4.0
+    rows[::17, 0] = np.nan
+    forest = fit(rows, 30, rng, sample=64)
+    asked = np.concatenate([rows, [[np.inf, -np.inf, 0.0], [9.0, 9.0, 9.0]]])
+    for line, got in zip(asked, forest.score(asked), strict=True):
+        total = 0.0
+        for feature, cut, depth in zip(forest.feature, forest.cut, forest.depth, strict=True):
+            node = 0
+            while feature[node] >= 0:
+                node = 2 * node + 1 + int(line[feature[node]] > cut[node])
+            total += depth[node]
+        assert abs(got - 2.0 ** (-(total / 30) / float(average_path(64)))) < 1e-12
+
+
 def test_a_trade_is_judged_once(spark):
     """Spark filters by the size of an array that it unfolds, and so computes the array once more."""
     from tapewarden.operators.alerts import candidate_alerts, run_engine
