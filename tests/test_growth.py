@@ -130,6 +130,16 @@ def test_forest_paths(spark):
         assert abs(got - 2.0 ** (-(total / 30) / float(average_path(64)))) < 1e-12
 
 
+def test_alerts_stay_in_arrow(spark):
+    rows = spark.createDataFrame([("A", "z", i * 1_000_000, f"t{i}", "text") for i in range(30)], "symbol string, detector string, event_us long, trade_id string, reason string")
+    for cut in (7, 1000):
+        out = mark_cooldown(rows, 8.0, rows_per_task=cut)
+        assert "FlatMapGroupsInArrow" in plan(out)
+        assert sorted(r["event_us"] // 1_000_000 for r in out.filter("emitted").collect()) == [0, 8, 16, 24]
+    trades = tape(spark, [trade(offset=i, price=100.0 + i % 7) for i in range(40)])
+    assert "FlatMapGroupsInArrow" in plan(isolation_scores(trades))
+
+
 def test_a_trade_is_judged_once(spark):
     """Spark filters by the size of an array that it unfolds, and so computes the array once more."""
     from tapewarden.operators.alerts import candidate_alerts, run_engine
