@@ -27,7 +27,7 @@ _MINUTE_US = 60_000_000
 def _sessions(hits: DataFrame, rows_per_task: int) -> DataFrame:
     """Add ``_session``: it changes where a client was quiet for more than a minute."""
     order = ("event_us", "hit_id")
-    cut, group, was_cut = split_by_rank(hits, ["client"], order, halo=1, rows_per_task=rows_per_task)
+    cut, group, was_cut, _ = split_by_rank(hits, ["client"], order, halo=1, rows_per_task=rows_per_task)
     by_client = Window.partitionBy(*group).orderBy(*order)
     gap = F.col("event_us") - F.lag("event_us").over(by_client)
     marked = (

@@ -37,7 +37,7 @@ def stream_runs(
         flagged = F.array(F.coalesce(flagged, F.lit(False)))
     # read twice below (count, then rows), and whatever flagged the rows is dear
     slim = checkpointed(records.select(*keys, *order, "label", flagged.alias("flagged")))
-    cut, group, was_cut = split_by_rank(slim, keys, order, halo=1, rows_per_task=rows_per_task)
+    cut, group, was_cut, _ = split_by_rank(slim, keys, order, halo=1, rows_per_task=rows_per_task)
     within = Window.partitionBy(*group).orderBy(*order)
     upto, last = within.rowsBetween(Window.unboundedPreceding, 0), F.col("_previous")
     names, several = rulesets or [""], ["ruleset"] if rulesets else []

@@ -151,3 +151,43 @@ def test_a_trade_is_judged_once(spark):
     slim, whole = run_engine(rows, isolation=False, columns=()), run_engine(rows, isolation=False)
     assert "reason" not in slim.columns
     assert sorted(slim.select("alert_id").collect()) == sorted(whole.select("alert_id").collect())
+
+
+def rows_of_tasks(df):
+    return sorted(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+
+
+def test_tasks_follow_the_rows_of_a_cut_tape(spark, monkeypatch):
+    """What a task sorts is bounded by rows, not by the session's number of partitions."""
+    from tapewarden.operators import split as S
+
+    monkeypatch.setattr(S, "ROWS_PER_SORT", 100)
+    monkeypatch.setattr(S, "ROWS_PER_TASK", 200)
+    laid = []
+    monkeypatch.setattr(S, "checkpointed", lambda df: (laid.append(df), checkpointed(df))[1])
+    rows = spark.range(12_000).selectExpr("cast(id % 4 = 0 as string) as symbol", "id")
+    cut, group, was_cut, _ = S.split_by_rank(rows, ["symbol"], ["id"], halo=20, rows_per_task=200)
+    assert was_cut and cut.filter("not _halo").count() == 12_000
+    assert laid[0].rdd.getNumPartitions() == 120
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    try:
+        assert max(rows_of_tasks(cut)) <= 5 * 220
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_velocity_inside_a_chunk_needs_no_join_of_all_seconds(spark, monkeypatch):
+    """Only seconds at the edges of chunks are counted apart, also where a burst fills whole chunks."""
+    trades = [trade(offset=i * 0.11, symbol="HOT") for i in range(2000)] + [trade(offset=50 + i * 0.001, symbol="HOT") for i in range(900)]
+    trades += [trade(offset=i * 1.7, symbol="COLD") for i in range(100)]
+    rows = tape(spark, trades)
+    counted = []
+    velocity = B.batch_velocity
+    monkeypatch.setattr(B, "batch_velocity", lambda df, seconds: (counted.append(df.count()), velocity(df, seconds))[1])
+    whole = {r["trade_id"]: r["velocity"] for r in B.batch_features(rows).collect()}
+    assert counted == []
+    for cut in (250, 700):
+        found = {r["trade_id"]: r["velocity"] for r in B.batch_features(rows, rows_per_task=cut).collect()}
+        assert found == whole
+    assert counted[1] < 0.9 * len(trades)
