@@ -191,3 +191,22 @@ def test_velocity_inside_a_chunk_needs_no_join_of_all_seconds(spark, monkeypatch
         found = {r["trade_id"]: r["velocity"] for r in B.batch_features(rows, rows_per_task=cut).collect()}
         assert found == whole
     assert counted[1] < 0.9 * len(trades)
+
+
+def test_texts_that_nobody_reads_are_not_built(spark, monkeypatch):
+    from tapewarden.operators import alerts as E
+
+    rows = tape(spark, [trade(offset=i * 0.05, price=100.0 + (9 if i % 50 == 49 else i % 3)) for i in range(200)])
+    plans = []
+    monkeypatch.setattr(E, "checkpointed", lambda df: (plans.append(plan(df)), checkpointed(df))[1])
+    totals = {(r["metric"], r["key"]): r["value"] for r in E.engine_stats(rows, isolation=False).collect()}
+    assert plans and not any("one-sided burst" in p for p in plans)
+    monkeypatch.setattr(E, "cooldown", lambda df, *more: (plans.append(plan(df)), mark_cooldown(df, *more).filter("emitted").drop("emitted", "candidates"))[1])
+    slim = E.run_engine(rows, isolation=False, columns=("rank", "position", "severity", "score"))
+    assert "one-sided burst" not in plans[-1]
+    whole = E.run_engine(rows, isolation=False)
+    assert "one-sided burst" in plans[-1]
+    assert totals["alerts_raised", ""] == slim.count() == whole.filter("reason is not null and details is not null").count() > 0
+    # decisions order alerts without their texts just the same
+    short = lambda df: sorted((r["trade_id"], r["anomalous"], [(a["detector"], a["severity"], a["score"]) for a in r["alerts"]]) for r in E.decisions(rows, df).collect())
+    assert short(slim) == short(whole)
