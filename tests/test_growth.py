@@ -210,3 +210,27 @@ def test_texts_that_nobody_reads_are_not_built(spark, monkeypatch):
     # decisions order alerts without their texts just the same
     short = lambda df: sorted((r["trade_id"], r["anomalous"], [(a["detector"], a["severity"], a["score"]) for a in r["alerts"]]) for r in E.decisions(rows, df).collect())
     assert short(slim) == short(whole)
+
+
+def test_failing_rows_are_found_without_joining_frames_on_the_way():
+    import warnings
+
+    import pandas as pd
+
+    from tapewarden.operators.detectors import judge_rows
+
+    def inspect(rows):
+        if (rows["q"] % 37 == 5).any():
+            raise ValueError
+        return pd.DataFrame({"fires": rows["q"] > 50, "severity": "low", "score": rows["q"] / 100, "reason": None, "details": "{}"})
+
+    rows = pd.DataFrame({"q": range(100)})
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        out = judge_rows(inspect, rows)
+    bad = [i % 37 == 5 for i in range(100)]
+    assert list(out["failed"]) == bad
+    assert [None if b else bool(f) for f, b in zip(out["fires"], bad, strict=True)] == [None if b else i > 50 for i, b in enumerate(bad)]
+    assert all(pd.isna(s) if b else s == i / 100 for i, (s, b) in enumerate(zip(out["score"], bad, strict=True)))
+    assert set(out["severity"]) == {"low", None}
+    assert judge_rows(inspect, rows.iloc[:5])["fires"].dtype == bool and len(judge_rows(inspect, rows.iloc[:0])) == 0
