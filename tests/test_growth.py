@@ -234,3 +234,15 @@ def test_failing_rows_are_found_without_joining_frames_on_the_way():
     assert all(pd.isna(s) if b else s == i / 100 for i, (s, b) in enumerate(zip(out["score"], bad, strict=True)))
     assert set(out["severity"]) == {"low", None}
     assert judge_rows(inspect, rows.iloc[:5])["fires"].dtype == bool and len(judge_rows(inspect, rows.iloc[:0])) == 0
+
+
+def test_a_ranked_tape_is_read_in_bounded_files(spark, monkeypatch):
+    """What a task reads to deal out a ranked tape is held until it is dealt: files, which scans pack together, are short."""
+    from tapewarden.operators import split
+
+    monkeypatch.setattr(split, "ROWS_PER_FILE", 100)
+    rows = spark.range(5_000).select(F.lit("A").alias("symbol"), F.col("id").alias("event_us"))
+    ranked = split.rank_within(rows, ["symbol"], ["event_us"], rows_per_task=1_000)
+    files = ranked.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.bool_and(F.col("event_us") == F.col("_pos")).alias("ok"))
+    assert all(r.n <= 100 and r.ok and r.file for r in files.collect())
+    assert files.count() >= 50
