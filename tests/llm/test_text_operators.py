@@ -127,6 +127,36 @@ def test_repeats_of_long_texts_in_stretches(spark, monkeypatch):
     assert got == dict(enumerate(repeats(texts, 400)))
 
 
+def test_passages_of_fifty_words(spark, monkeypatch):
+    """Passages below 400 bytes that another row has as well, told by a column; a text repeating itself has none."""
+    rng = random.Random(3)
+    some = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(10_000)) for _ in range(n)]
+    passage, other, long = some(51), some(60), some(900)
+    texts = [" ".join([*some(30), *passage, *some(20)]), "\n".join([*some(5), *passage]).upper(), " ".join(some(300)), " ".join(passage[:49]),
+             " ".join(other * 2), "twice " * 50, "twice " * 50, None, "", " ".join(long + some(7) + long), " ".join(some(40) + long[200:260])]
+    rows = [(k if k != 2 else None, t) for k, t in enumerate(texts)] + [(20, " ".join(long[:60])), (20, " ".join(long[:60]))]
+
+    def brute():
+        windows = {}
+        for i, (_, t) in enumerate(rows):
+            w = words(t or "")
+            for k in range(len(w) - 49):
+                windows.setdefault(tuple(w[k : k + 50]), set()).add(i)
+        for i, (doc, t) in enumerate(rows):
+            w = words(t or "")
+            hit = {k + j for k in range(len(w) - 49) if len(windows[tuple(w[k : k + 50])]) > 1 for j in range(50)}
+            yield str((doc, len(hit)))
+
+    want = sorted(brute())
+    assert {"(0, 51)", "(1, 51)", "(None, 0)", "(3, 0)", "(4, 0)", "(5, 50)"} < set(want)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for stretch in (1 << 21, 700):
+        monkeypatch.setattr(radix, "STRETCH", stretch)
+        got = radix.remove_repeats(frame).collect()
+        assert sorted(str((r.doc_id, r.n_passage_words)) for r in got) == want
+    assert {r.doc_id: r.n_removed for r in got}[0] == 0
+
+
 def test_seeds_find_every_window():
     patterns = set(itertools.combinations(range(decontamination.WINDOW), decontamination.MISMATCHES))
     met = set()
