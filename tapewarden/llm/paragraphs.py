@@ -24,6 +24,8 @@ from tapewarden.session import ship_package
 
 ROWS = 3
 MARGIN = 5.5
+#: Shingles of a paragraph that counts as a passage; shorter ones that repeat are mostly headings and boilerplate.
+PASSAGE_SHINGLES = 10
 _rng = np.random.Generator(np.random.PCG64(2207))
 _TIMES, _PLUS = (_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -166,3 +168,23 @@ def duplicate_paragraphs(documents: DataFrame, percent: int = 80, recall: float
     ).distinct()
     kept = (F.col("doc_id") == F.col("first_doc_id")) & (F.col("paragraph") == F.col("first_paragraph"))
     return members.withColumn("kept", kept)
+
+
+def paragraphs_by_document(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """One row for each doc_id of ``documents``, with what :func:`duplicate_paragraphs` found in it.
+
+    ``n_passages`` and ``n_passages_dropped`` count the paragraphs of ``PASSAGE_SHINGLES`` shingles or more that have a near
+    duplicate and those of them that are not kept, ``n_duplicates`` and ``n_dropped`` all such paragraphs;
+    ``clusters`` lists them in order as paragraph:first_doc_id:first_paragraph, comma-joined. Documents
+    without any have zeros and an empty list; rows without doc_id have no row.
+    """
+    long = F.col("n_shingles") >= PASSAGE_SHINGLES
+    listed = F.sort_array(F.collect_list(F.struct("paragraph", "first_doc_id", "first_paragraph")))
+    found = members.groupBy("doc_id").agg(
+        F.count_if(long).alias("n_passages"), F.count_if(long & ~F.col("kept")).alias("n_passages_dropped"),
+        F.count(F.lit(1)).alias("n_duplicates"), F.count_if(~F.col("kept")).alias("n_dropped"),
+        F.array_join(F.transform(listed, lambda m: F.concat_ws(":", m["paragraph"], m["first_doc_id"], m["first_paragraph"])), ",").alias("clusters"),
+    )
+    every = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    counts = ("n_passages", "n_passages_dropped", "n_duplicates", "n_dropped")
+    return every.join(found, "doc_id", "left").fillna({c: 0 for c in counts} | {"clusters": ""})

@@ -13,7 +13,7 @@ from brute import linked, shingle_set, words
 from test_text_operators import corpus
 
 import corpus_pipeline
-from tapewarden.llm import queries, resampling
+from tapewarden.llm import paragraphs, queries, resampling
 
 
 def paragraphs_by_line(text: str | None) -> dict[int, str]:
@@ -38,8 +38,16 @@ def test_short_and_wrapped_paragraphs_are_searched(spark, tmp_path):
     first = linked(sets, 80)
     size = {k: list(first.values()).count(k) for k in set(first.values())}
     want = {(*k, len(sets[k]), *f, k == f) for k, f in first.items() if size[f] > 1}
-    got = queries.op2_paragraph_minhash(spark, str(tmp_path)).collect()
+    got = paragraphs.duplicate_paragraphs(spark.read.parquet(f"{tmp_path}/documents.parquet"), min_words=1).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+    by_document = {d: [0, 0, 0, 0, []] for d, _ in rows if d is not None}
+    for doc, k, n, first_doc, first_k, kept in sorted(want):
+        row = by_document[doc]
+        row[:4] = row[0] + (n >= 10), row[1] + (n >= 10 and not kept), row[2] + 1, row[3] + (not kept)
+        row[4].append(f"{k}:{first_doc}:{first_k}")
+    got = queries.op2_paragraph_minhash(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(d, *r[:4], ",".join(r[4])) for d, r in by_document.items()} and len(got) == len(by_document)
+    assert all(r.n_passages == 0 < r.n_duplicates for r in got if 1000 <= r.doc_id < 1030)
     assert sum(r[0] >= 1000 and r[2] == 2 for r in want) == 30 and {(1030, 0), (1031, 4), (1032, 0)} <= {r[:2] for r in want}
 
 
