@@ -5,6 +5,10 @@ sets of five-word shingles and MinHash signatures; equal sets are one representa
 the similarity threshold. Representatives that collide in a band are confirmed by
 exact Jaccard similarity (:mod:`tapewarden.llm.links`), clusters are the connected
 components, and of each cluster the first paragraph stays.
+
+A passage pasted into longer lines is no paragraph of its own. For those the words of a document are cut at places
+that their content decides, whatever the lines: of each window of 50 words the 20 words with the smallest hash are a
+piece. Pieces meet in a MinHash band as paragraphs do, and what meets is checked on windows of 41 words around it.
 """
 
 from __future__ import annotations
@@ -18,14 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewarden.llm.links import link_components
+from tapewarden.llm.repeats import _Hashes, _smallest_gram, _stretches
 from tapewarden.llm.scratch import written
-from tapewarden.llm.words import _IS_SPACE, Texts, fingerprint, mixed, shingles, text_rounds, words
+from tapewarden.llm.words import _IS_SPACE, _PLACE, Texts, flat_shingles, fingerprint, fingerprints, mixed, shingles, text_rounds, words
 from tapewarden.session import ship_package
 
 ROWS = 3
 MARGIN = 5.5
 #: Shingles of a paragraph that counts as a passage; shorter ones that repeat are mostly headings and boilerplate.
 PASSAGE_SHINGLES = 10
+#: Words of a passage that may lie anywhere in a text, of its pieces, and of the windows that confirm it.
+PASSAGE, PIECE, WINDOW = 50, 20, 41
+#: Words by which windows begin before their piece: any passage around a piece holds one of these windows whole.
+REACH = (0, 10, 20, 21)
 _rng = np.random.Generator(np.random.PCG64(2207))
 _TIMES, _PLUS = (_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -57,14 +66,10 @@ def paragraphs_of(texts: Texts) -> tuple[Texts, np.ndarray, np.ndarray]:
     return Texts(texts.first, texts.data, np.append(starts[begins], len(texts.data))), owner[begins], number[begins]
 
 
-def signatures(sets: list[np.ndarray], values: int) -> np.ndarray:
-    """The low 16 bits of ``values`` MinHash minima of each (not empty) set."""
-    if not sets:
-        return np.zeros((0, values), dtype="<u2")
-    starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    element = np.concatenate(sets)
-    out = np.empty((len(sets), values), dtype="<u2")
-    for k in range(values):
+def signatures(element: np.ndarray, starts: np.ndarray, values: int) -> np.ndarray:
+    """The low 16 bits of ``values`` MinHash minima of each (not empty) set; a set is what lies from its start to the next."""
+    out = np.empty((len(starts), values), dtype="<u2")
+    for k in range(values if len(starts) else 0):
         least = np.minimum.reduceat(element * _TIMES[k] + _PLUS[k], starts)
         out[:, k] = (mixed(least) & np.uint64(0xFFFF)).astype("<u2")
     return out
@@ -80,15 +85,18 @@ def _sketched(documents: DataFrame, min_words: int, values: int) -> DataFrame:
             for texts in text_rounds(batch["text"]):
                 blocks, owner, number = paragraphs_of(texts)
                 found = words(blocks)
-                long = np.flatnonzero(np.diff(found.rows) >= max(min_words, 1))
-                every = shingles(found)
-                sets = [every[k] for k in long]
-                prints = [fingerprint(s) for s in sets]
+                long = np.diff(found.rows) >= max(min_words, 1)
+                every, bounds = flat_shingles(found)
+                sizes = np.diff(bounds)
+                element, n = every[np.repeat(long, sizes)], sizes[long]
+                starts = np.cumsum(n) - n
+                a, b = fingerprints(element, starts)
+                sketches = signatures(element, starts, values)
+                ends = pa.py_buffer(np.arange(len(n) + 1, dtype=np.int32) * np.int32(2 * values))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].take(pa.array(owner[long] + texts.first)), pa.array(number[long].astype(np.int32)),
-                        pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
-                        pa.array([p[1] for p in prints], pa.int64()), pa.array([s.tobytes() for s in signatures(sets, values)], pa.binary()),
+                        pa.array(n), pa.array(a), pa.array(b), pa.Array.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(sketches)]),
                     ],
                     ["doc_id", "paragraph", "n", "fa", "fb", "sketch"],
                 )
@@ -170,12 +178,80 @@ def duplicate_paragraphs(documents: DataFrame, percent: int = 80, recall: float
     return members.withColumn("kept", kept)
 
 
-def paragraphs_by_document(documents: DataFrame, members: DataFrame) -> DataFrame:
-    """One row for each doc_id of ``documents``, with what :func:`duplicate_paragraphs` found in it.
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of ``doc_id, version, text``, a long text in overlapping stretches, so that a place fits its bits."""
+    for batch in batches:
+        for texts in text_rounds(batch["text"]):
+            found = words(texts)
+            for row, offset, value, bounds in _stretches(found.hashes, found.rows, PASSAGE):
+                if len(value) < PASSAGE:
+                    continue
+                hashes = _Hashes(value)
+                place = _smallest_gram(hashes, len(value), PASSAGE, PIECE)
+                owner = np.searchsorted(bounds, np.arange(len(place)), side="right") - 1
+                inside = np.arange(len(place)) + PASSAGE <= bounds[owner + 1]
+                first = np.unique(place[inside])
+                owner = np.searchsorted(bounds, first, side="right") - 1
+                joined = np.zeros(len(value) - 4, dtype=np.uint64)
+                for k in range(5):
+                    joined += value[k : k + len(joined)] * _PLACE[k]
+                element = mixed(joined)[first[:, None] + np.arange(PIECE - 4)]
+                key = np.zeros(len(first), dtype=np.uint64)
+                for k in range(ROWS):
+                    key = mixed(key + (element * _TIMES[k] + _PLUS[k]).min(axis=1))
+                starts = first[:, None] - np.array(REACH)
+                held = (starts >= bounds[owner][:, None]) & (starts + WINDOW <= bounds[owner + 1][:, None])
+                window = np.zeros(starts.shape, dtype=np.int64)
+                window[held] = hashes.of(starts[held], starts[held] + WINDOW).view(np.int64)
+                lists = pa.ListArray.from_arrays(
+                    np.arange(len(first) + 1, dtype=np.int32) * np.int32(len(REACH)), pa.array(window.ravel(), mask=~held.ravel())
+                )
+                of = pa.array(owner + row + texts.first)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].take(of), batch["version"].take(of), pa.array((first - bounds[owner] + offset).astype(np.int32)),
+                     pa.array(key.view(np.int64)), lists],
+                    ["doc_id", "version", "first", "key", "windows"],
+                )
+
+
+def _pieces(documents: DataFrame) -> DataFrame:
+    """``doc_id, version, first, key, windows``: each piece with its first word, its band key and the hashes of the windows around it."""
+    texts = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), F.col("text").cast("string"))
+    return texts.mapInArrow(_cut, "doc_id long, version long, first int, key long, windows array<long>")
+
+
+def passage_words(documents: DataFrame) -> DataFrame:
+    """``doc_id, n_passage_words`` of the documents that share a passage with another doc_id, wherever it begins in its lines.
+
+    ``n_passage_words`` counts the words under windows of ``WINDOW`` words that both documents have. A document that has ``PASSAGE``
+    words in a row in common with another is never missed, one with fewer than ``WINDOW`` never returned. Words
+    are as in :mod:`tapewarden.llm.words`; what is between them does not matter. What repeats only inside one doc_id does not
+    count; different texts of one doc_id are added up. Rows without doc_id take no part, nulls are empty.
+    """
+    ship_package(documents.sparkSession)
+    pieces = written(_pieces(documents.filter("doc_id is not null")), "pieces")
+    several = F.min("doc_id") != F.max("doc_id")
+    met = pieces.groupBy("key").agg(several.alias("met")).filter("met").select("key")
+    met = written(pieces.join(met, "key").drop("key"), "pieces_met")
+    reach = F.array(*map(F.lit, REACH))
+    windows = met.select("doc_id", "version", "first", F.posexplode("windows").alias("turn", "window")).filter("window is not null")
+    shared = windows.groupBy("window").agg(several.alias("shared")).filter("shared").select("window")
+    start = (F.col("first") - F.get(reach, "turn")).alias("start")
+    found = windows.select("doc_id", "version", "window", start).join(shared, "window")
+    found = found.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    # a window counts up to the next one's start, the last one whole
+    steps = F.zip_with("starts", F.slice("starts", 2, F.size("starts")), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    covered = F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step)
+    return found.select("doc_id", covered.alias("words")).groupBy("doc_id").agg(F.sum("words").alias("n_passage_words"))
+
+
+def paragraphs_by_document(documents: DataFrame, members: DataFrame, passages: DataFrame) -> DataFrame:
+    """One row for each doc_id of ``documents``, with what :func:`duplicate_paragraphs` and :func:`passage_words` found in it.
 
     ``n_passages`` and ``n_passages_dropped`` count the paragraphs of ``PASSAGE_SHINGLES`` shingles or more that have a near
     duplicate and those of them that are not kept, ``n_duplicates`` and ``n_dropped`` all such paragraphs;
-    ``clusters`` lists them in order as paragraph:first_doc_id:first_paragraph, comma-joined. Documents
+    ``clusters`` lists them in order as paragraph:first_doc_id:first_paragraph, comma-joined. ``n_passage_words`` are the words
+    of passages that another document has as well, whatever its lines. Documents
     without any have zeros and an empty list; rows without doc_id have no row.
     """
     long = F.col("n_shingles") >= PASSAGE_SHINGLES
@@ -186,5 +262,5 @@ def paragraphs_by_document(documents: DataFrame, members: DataFrame) -> DataFram
         F.array_join(F.transform(listed, lambda m: F.concat_ws(":", m["paragraph"], m["first_doc_id"], m["first_paragraph"])), ",").alias("clusters"),
     )
     every = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    counts = ("n_passages", "n_passages_dropped", "n_duplicates", "n_dropped")
-    return every.join(found, "doc_id", "left").fillna({c: 0 for c in counts} | {"clusters": ""})
+    counts = ("n_passages", "n_passages_dropped", "n_duplicates", "n_dropped", "n_passage_words")
+    return every.join(found, "doc_id", "left").join(passages, "doc_id", "left").fillna({c: 0 for c in counts} | {"clusters": ""})

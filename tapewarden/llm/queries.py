@@ -13,7 +13,7 @@ from tapewarden.llm.decontamination import contaminated
 from tapewarden.llm.lines import deduplicate_lines
 from tapewarden.llm.mixing import mixed_documents
 from tapewarden.llm.neighbours import nearest_neighbours
-from tapewarden.llm.paragraphs import duplicate_paragraphs, paragraphs_by_document
+from tapewarden.llm.paragraphs import duplicate_paragraphs, paragraphs_by_document, passage_words
 from tapewarden.llm.parity import jaccard_components
 from tapewarden.llm.personal import personal_data
 from tapewarden.llm.preference import format_preferences, stale_answer_pairs
@@ -66,7 +66,7 @@ from pairs
 
 def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    return paragraphs_by_document(documents, duplicate_paragraphs(documents, min_words=1))
+    return paragraphs_by_document(documents, duplicate_paragraphs(documents, min_words=1), passage_words(documents))
 
 
 def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,44 @@ def shingles(found: Words, width: int = 5) -> list[np.ndarray]:
     return out
 
 
+def flat_shingles(found: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of :func:`shingles` one behind the other, and where each begins and ends."""
+    hashes, rows, _ = found
+    sizes = np.diff(rows)
+    joined = np.zeros(max(len(hashes) - width + 1, 0), dtype=np.uint64)
+    for k in range(width):
+        joined += hashes[k : k + len(joined)] * _PLACE[k]
+    joined = mixed(joined)
+    owner = np.repeat(np.arange(len(sizes)), np.where(sizes >= width, sizes - width + 1, (sizes > 0).astype(np.int64)))
+    counts = np.bincount(owner, minlength=len(sizes))
+    heads = np.cumsum(counts) - counts
+    at = np.arange(len(owner)) + (rows[:-1] - heads)[owner]
+    short = np.flatnonzero((sizes > 0) & (sizes < width))
+    element = np.zeros(len(owner), dtype=np.uint64)
+    full = sizes[owner] >= width
+    element[full] = joined[at[full]]
+    sums = sizes[short].astype(np.uint64)
+    for k in range(width - 1):
+        has = sizes[short] > k
+        sums[has] += hashes[rows[:-1][short[has]] + k] * _PLACE[k]
+    element[heads[short]] = mixed(sums)
+    order = np.argsort(element)
+    order = order[np.argsort(owner[order], kind="stable")]
+    element = element[order]
+    fresh = np.ones(len(element), dtype=bool)
+    fresh[1:] = (element[1:] != element[:-1]) | (owner[1:] != owner[:-1])
+    return element[fresh], np.append(0, np.cumsum(np.bincount(owner[fresh], minlength=len(sizes))))
+
+
+def fingerprints(element: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`fingerprint` of sets one behind the other, none of them empty."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    a = np.add.reduceat(mixed(element ^ np.uint64(0x5851F42D4C957F2D)), starts)
+    b = np.add.reduceat(mixed(element * np.uint64(0xD6E8FEB86659FD93)), starts)
+    return a.view(np.int64), b.view(np.int64)
+
+
 def fingerprint(one: np.ndarray) -> tuple[int, int]:
     """128 bits that identify a set of shingles."""
     a = np.add.reduce(mixed(one ^ np.uint64(0x5851F42D4C957F2D)))

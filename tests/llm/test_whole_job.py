@@ -8,12 +8,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import linked, shingle_set, words
 from test_text_operators import corpus
 
 import corpus_pipeline
-from tapewarden.llm import paragraphs, queries, resampling
+from tapewarden.llm import paragraphs, queries, repeats, resampling
 
 
 def paragraphs_by_line(text: str | None) -> dict[int, str]:
@@ -46,11 +47,67 @@ def test_short_and_wrapped_paragraphs_are_searched(spark, tmp_path):
         row[:4] = row[0] + (n >= 10), row[1] + (n >= 10 and not kept), row[2] + 1, row[3] + (not kept)
         row[4].append(f"{k}:{first_doc}:{first_k}")
     got = queries.op2_paragraph_minhash(spark, str(tmp_path)).collect()
-    assert {tuple(r) for r in got} == {(d, *r[:4], ",".join(r[4])) for d, r in by_document.items()} and len(got) == len(by_document)
+    assert {tuple(r)[:6] for r in got} == {(d, *r[:4], ",".join(r[4])) for d, r in by_document.items()} and len(got) == len(by_document)
     assert all(r.n_passages == 0 < r.n_duplicates for r in got if 1000 <= r.doc_id < 1030)
     assert sum(r[0] >= 1000 and r[2] == 2 for r in want) == 30 and {(1030, 0), (1031, 4), (1032, 0)} <= {r[:2] for r in want}
 
 
+def shared_windows(rows: list[tuple[int, str | None]], length: int) -> dict[int, set[tuple[int, int]]]:
+    """The words of each doc_id, as (row, place), under ``length`` words in a row that another doc_id has as well."""
+    at: dict[tuple[str, ...], list[tuple[int, int, int]]] = {}
+    for k, (doc, text) in enumerate(rows):
+        w = words(text)
+        for i in range(len(w) - length + 1):
+            at.setdefault(tuple(w[i : i + length]), []).append((doc, k, i))
+    out: dict[int, set[tuple[int, int]]] = {}
+    for places in at.values():
+        if len({doc for doc, _, _ in places}) > 1:
+            for doc, k, i in places:
+                out.setdefault(doc, set()).update((k, i + j) for j in range(length))
+    return out
+
+
+def test_passages_inside_longer_lines_are_found(spark, tmp_path, monkeypatch):
+    """Passages of 50 words and more that share no whole line; runs of up to 40 words, and repeats inside a document, are left alone."""
+    rng = random.Random(5)
+
+    def prose(n: int) -> list[str]:
+        return ["w%d" % rng.randrange(5000) for _ in range(n)]
+
+    def text(w: list[str]) -> str:
+        return "".join(x + ("\n" if rng.random() < 0.02 else " ") for x in w)
+
+    rows: list[tuple[int, str | None]] = []
+    for n in [*range(30, 41), *range(50, 62), 90, 200]:
+        run = prose(n)
+        for _ in range(2):
+            rows.append((len(rows), text([*prose(rng.randrange(60)), *run, *prose(rng.randrange(60))])))
+    planted = len(rows)
+    inside = text(prose(60))
+    rows += [(planted, f"{inside}\n{text(prose(20))}\n{inside}"), (planted + 1, None), (planted + 2, ""), (planted + 3, "one two")]
+    rows += [(planted + 4, text(["the"] * 70)), (planted + 5, text(["THE"] * 300)), (planted + 6, text(prose(500)))]
+    rows += [rows[30], (planted + 6, text(prose(300)))]
+    certain, possible = shared_windows(rows, paragraphs.PASSAGE), shared_windows(rows, paragraphs.WINDOW)
+    spark.createDataFrame([*rows, (None, rows[-1][1])], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.n_passage_words for r in queries.op2_paragraph_minhash(spark, str(tmp_path)).collect()}
+    assert set(found) == {d for d, _ in rows}
+    assert set(certain) == set(possible) == {d for d, n in found.items() if n} == {*range(22, planted), planted + 4, planted + 5}
+    for doc, n in found.items():
+        assert not n or paragraphs.WINDOW <= n <= len({i for _, i in possible[doc]})
+    # before, nothing but whole lines was compared
+    missed = set(range(22, planted)) - {r.doc_id for r in paragraphs.duplicate_paragraphs(docs, min_words=1).collect()}
+    assert len(missed) > 10
+    # texts of several stretches have the same pieces
+    texts = [t for _, t in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(range(len(rows))), pa.array(texts, pa.string())], ["doc_id", "version", "text"])
+    whole, parts = [], []
+    for out, stretch in ((whole, repeats.STRETCH), (parts, 64)):
+        monkeypatch.setattr(repeats, "STRETCH", stretch)
+        out += [(r["doc_id"], r["first"], r["key"]) for part in paragraphs._cut(iter([batch])) for r in part.to_pylist()]
+    assert len(whole) > 100 and set(whole) == set(parts)
+
+
 def test_near_duplicate_stage_takes_a_similarity_of_four_fifths(spark):
     """A pair of similarity between 0.80 and 0.85: the stage drops one, the default of 85 keeps both."""
     base = ["w%d" % k for k in range(104)]
