@@ -179,7 +179,10 @@ def duplicate_paragraphs(documents: DataFrame, percent: int = 80, recall: float
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of ``doc_id, version, text``, a long text in overlapping stretches, so that a place fits its bits."""
+    """The pieces of ``doc_id, version, text``, a long text in overlapping stretches, so that a place fits its bits.
+
+    A window that comes again around the same piece of a text is listed once.
+    """
     for batch in batches:
         for texts in text_rounds(batch["text"]):
             found = words(texts)
@@ -203,6 +206,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = (starts >= bounds[owner][:, None]) & (starts + WINDOW <= bounds[owner + 1][:, None])
                 window = np.zeros(starts.shape, dtype=np.int64)
                 window[held] = hashes.of(starts[held], starts[held] + WINDOW).view(np.int64)
+                # text that goes round in circles has the same few windows everywhere
+                same = mixed(window.view(np.uint64) + mixed(key + mixed(owner.astype(np.uint64)))[:, None])
+                once = np.zeros(window.size, dtype=bool)
+                once[np.flatnonzero(held)[np.unique(same[held], return_index=True)[1]]] = True
+                held = once.reshape(held.shape)
+                some = held.any(axis=1)
+                first, owner, key, window, held = (x[some] for x in (first, owner, key, window, held))
                 lists = pa.ListArray.from_arrays(
                     np.arange(len(first) + 1, dtype=np.int32) * np.int32(len(REACH)), pa.array(window.ravel(), mask=~held.ravel())
                 )
@@ -226,16 +236,17 @@ def passage_words(documents: DataFrame) -> DataFrame:
     ``n_passage_words`` counts the words under windows of ``WINDOW`` words that both documents have. A document that has ``PASSAGE``
     words in a row in common with another is never missed, one with fewer than ``WINDOW`` never returned. Words
     are as in :mod:`tapewarden.llm.words`; what is between them does not matter. What repeats only inside one doc_id does not
-    count; different texts of one doc_id are added up. Rows without doc_id take no part, nulls are empty.
+    count, and what a document repeats of a passage may count once; different texts of one doc_id are added up. Rows without doc_id take no part, nulls are empty.
     """
     ship_package(documents.sparkSession)
     pieces = written(_pieces(documents.filter("doc_id is not null")), "pieces")
     several = F.min("doc_id") != F.max("doc_id")
-    met = pieces.groupBy("key").agg(several.alias("met")).filter("met").select("key")
-    met = written(pieces.join(met, "key").drop("key"), "pieces_met")
+    # written, so that adaptive execution sees a plain join and splits hot keys
+    keys = written(pieces.groupBy("key").agg(several.alias("met")).filter("met").select("key"), "piece_keys")
+    met = written(pieces.join(keys, "key").drop("key"), "pieces_met")
     reach = F.array(*map(F.lit, REACH))
     windows = met.select("doc_id", "version", "first", F.posexplode("windows").alias("turn", "window")).filter("window is not null")
-    shared = windows.groupBy("window").agg(several.alias("shared")).filter("shared").select("window")
+    shared = written(windows.groupBy("window").agg(several.alias("shared")).filter("shared").select("window"), "shared_windows")
     start = (F.col("first") - F.get(reach, "turn")).alias("start")
     found = windows.select("doc_id", "version", "window", start).join(shared, "window")
     found = found.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("start")).alias("starts"))

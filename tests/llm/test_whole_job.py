@@ -104,10 +104,20 @@ def test_passages_inside_longer_lines_are_found(spark, tmp_path, monkeypatch):
     whole, parts = [], []
     for out, stretch in ((whole, repeats.STRETCH), (parts, 64)):
         monkeypatch.setattr(repeats, "STRETCH", stretch)
-        out += [(r["doc_id"], r["first"], r["key"]) for part in paragraphs._cut(iter([batch])) for r in part.to_pylist()]
+        out += [(r["doc_id"], r["key"]) for part in paragraphs._cut(iter([batch])) for r in part.to_pylist()]
     assert len(whole) > 100 and set(whole) == set(parts)
 
 
+def test_text_in_circles_has_few_windows():
+    """Each place of a text of one or two words in turn is a piece of its own; their windows are all the same."""
+    texts = ["a " * 5000, "a b " * 3000, " ".join("w%d" % k for k in range(200))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array(range(3)), pa.array(texts)], ["doc_id", "version", "text"])
+    listed = Counter()
+    for r in (r for part in paragraphs._cut(iter([batch])) for r in part.to_pylist()):
+        listed[r["doc_id"]] += sum(w is not None for w in r["windows"])
+    assert listed[0] == 1 and listed[1] == 2 and listed[2] > 10
+
+
 def test_near_duplicate_stage_takes_a_similarity_of_four_fifths(spark):
     """A pair of similarity between 0.80 and 0.85: the stage drops one, the default of 85 keeps both."""
     base = ["w%d" % k for k in range(104)]
