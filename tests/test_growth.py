@@ -247,3 +247,49 @@ def test_a_ranked_tape_is_read_in_bounded_files(spark, monkeypatch):
     assert split.rank_within(rows, ["symbol"], ["event_us"], rows_per_task=1_000).filter("_pos = event_us").count() == 5_000
     files = laid[0].groupBy(F.input_file_name()).count().collect()
     assert len(files) >= 50 and max(r["count"] for r in files) <= 100
+
+
+def test_leaves_by_masks(spark, monkeypatch):
+    """Many rows are scored without walks, bit for bit alike; trees of more than 64 leaves, of none but the root, equal, missing and infinite values."""
+    from tapewarden.functions import forest as M
+
+    rng = np.random.default_rng(5)
+    rows = np.round(rng.normal(size=(400, 4)), 1)
+    rows[:, 3] = 4.0
+    rows[::19, 0], rows[::23, 1], rows[::29, 2] = np.nan, np.inf, -np.inf
+    clean = rows[np.isfinite(rows).all(axis=1)]
+    for known in (clean, rows, rows[:1], np.tile(rows[:1], (9, 1))):
+        forest = fit(known, 12, rng, sample=256)
+        assert (forest.feature >= 0).sum(axis=1).max() > 64 or known is not clean
+        asked = np.concatenate([rows, forest.cut[:, 0][:, None] + np.zeros((12, 4))])
+        walked = forest.score(asked)
+        with monkeypatch.context() as patched:
+            patched.setattr(M, "_MANY", 1)
+            patched.setattr(M, "_BLOCK", 100)
+            patched.setattr(M, "_CELLS", None)
+            assert (forest.score(asked) == walked).all()
+            donors = asked[rng.permutation(len(asked))]
+            for column, found in enumerate(forest.swapped(asked, donors).T):
+                mixed = asked.copy()
+                mixed[:, column] = donors[:, column]
+                assert (forest.score(mixed) == found).all()
+
+
+def test_importance_reads_a_pair_once(spark):
+    """All features of a pair are judged together, as if each had a row of its own."""
+    from tapewarden.functions.forest import grow
+    from tapewarden.operators.features import FEATURES
+    from tapewarden.operators.learning import permutation_importance, score_isolation, swapped_isolation
+
+    rng = np.random.default_rng(6)
+    values = rng.normal(size=(300, len(FEATURES)))
+    rows = [(i, int(rng.random() < 0.3) if i % 50 else None, *map(float, v)) for i, v in enumerate(values)]
+    test = spark.createDataFrame(rows, f"_pos long, y int, {', '.join(f'{f} double' for f in FEATURES)}")
+    forest = grow(np.stack([values[rng.integers(0, 300, 64)] for _ in range(20)]), rng)
+    edge, pairs = float(np.quantile(forest.score(values), 0.7)), []
+    predict = lambda df: score_isolation(df, forest, edge)
+    told = lambda df: (pairs.append(df.count()), swapped_isolation(df, forest, edge))[1]
+    one = {r["feature"]: r["importance"] for r in permutation_importance(test, predict, 2).collect()}
+    both = {r["feature"]: r["importance"] for r in permutation_importance(test, predict, 2, swapped=told).collect()}
+    assert pairs == [600] and set(one) == set(FEATURES)
+    assert {f: round(v, 12) for f, v in one.items()} == {f: round(v, 12) for f, v in both.items()}
