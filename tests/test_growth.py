@@ -293,3 +293,37 @@ def test_importance_reads_a_pair_once(spark):
     both = {r["feature"]: r["importance"] for r in permutation_importance(test, predict, 2, swapped=told).collect()}
     assert pairs == [600] and set(one) == set(FEATURES)
     assert {f: round(v, 12) for f, v in one.items()} == {f: round(v, 12) for f, v in both.items()}
+
+
+def test_epochs_share_their_rows(spark, monkeypatch):
+    """A row is sent to a block of epochs, and again only near its end; each epoch trains and scores the rows that it always had."""
+    from tapewarden.operators import isolation as I
+
+    train, every, sent = 30, 10, []
+    rules = Rules().replace(isolation_forest={"train_size": train, "retrain_every": every}, window={"min_trades": 5})
+    rows = tape(spark, [trade(offset=i * 0.9, price=100.0 + i * 37 % 11, symbol="COLD" if i % 9 == 0 else "HOT") for i in range(900)])
+    blocks = I.epoch_blocks
+    monkeypatch.setattr(I, "epoch_blocks", lambda *a: (sent.append(out := blocks(*a)), out)[1])
+    whole = I.isolation_scores(rows, rules).collect()
+    cut = I.isolation_scores(rows, rules, rows_per_task=250).collect()
+    ready = 900 - 2 * 5
+    assert ready <= sent[0].count() <= 1.1 * ready
+    near = lambda found: sorted((r["trade_id"], r["epoch"], round(r["model_score"], 9)) for r in found)
+    assert near(whole) == near(cut)
+    for symbol in ("HOT", "COLD"):
+        mine = sorted((r for r in whole if r["symbol"] == symbol), key=lambda r: (r["event_us"], r["trade_id"]))
+        seen = sum((i % 9 == 0) == (symbol == "COLD") for i in range(900)) - 5
+        assert [r["epoch"] for r in mine] == [i // every for i in range(seen - train + 1)]
+        features = I.isolation_features(rows, rules).filter(F.col("symbol") == symbol).orderBy("event_us", "trade_id").collect()
+        values = np.array([[r[c] for c in I.INPUTS] for r in features])
+        for epoch in (0, 1, mine[-1]["epoch"]):
+            forest, edge = I.epoch_model(symbol, epoch, values[epoch * every : epoch * every + train], rules.isolation_forest)
+            of = slice(epoch * every + train - 1, (epoch + 1) * every + train - 1)
+            want = I.model_score(forest, edge, values[of])
+            assert np.allclose([r["model_score"] for r in mine if r["epoch"] == epoch], want, rtol=0, atol=1e-12)
+    ranks = spark.range(4000).select(F.col("id").alias("_pos"))
+    for size, step in ((30, 10), (30, 45), (200, 10)):
+        homes = {(r["_pos"], r["block"]) for r in blocks(ranks, size, step, 8).collect()}
+        assert len(homes) < 4000 * (1.1 + size / (8 * step))
+        for epoch in range((4000 - size) // step):
+            assert all((p, epoch // 8) in homes for p in range(epoch * step, min(4000, epoch * step + step + size - 1)))
