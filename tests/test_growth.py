@@ -327,3 +327,59 @@ def test_epochs_share_their_rows(spark, monkeypatch):
         assert len(homes) < 4000 * (1.1 + size / (8 * step))
         for epoch in range((4000 - size) // step):
             assert all((p, epoch // 8) in homes for p in range(epoch * step, min(4000, epoch * step + step + size - 1)))
+
+
+def test_boosted_trees_are_sparks(spark):
+    """The same thresholds, splits and scores as Spark's own fit, from blocks of bytes instead of a row's objects; zeros, ties and a constant feature."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from tapewarden.operators import boosting
+    from tapewarden.operators.features import FEATURES
+    from tapewarden.operators.learning import score_boosted, train_boosted
+
+    rng = np.random.default_rng(9)
+    values = rng.normal(size=(12_000, len(FEATURES)))
+    values[:, 1], values[:, 2], values[:, 3] = np.round(values[:, 1]), 4.0, np.maximum(values[:, 3], 0.0)
+    y = (values[:, 0] + values[:, 1] * values[:, 3] + rng.normal(size=len(values)) > 1).astype(int)
+    rows = [(int(label), *map(float, line)) for label, line in zip(y, values, strict=True)]
+    for count in (12_000, 150):
+        train = checkpointed(spark.createDataFrame(rows[:count], f"y int, {', '.join(f'{f} double' for f in FEATURES)}").repartition(3))
+        packed = []
+        checked = boosting.checkpointed
+        boosting.checkpointed = lambda df: (packed.append(out := checked(df)), out)[1]
+        try:
+            model = train_boosted(train, trees=12)
+        finally:
+            boosting.checkpointed = checked
+        assert packed[0].agg(F.sum(F.length("bins") + F.length("labels"))).first()[0] == count * (len(FEATURES) + 1)
+        assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train)
+        own = GBTClassifier(labelCol="y", maxIter=12, maxDepth=3, stepSize=0.1, seed=7).fit(assembled)
+        splits = lambda trees: [[line.split("Predict")[0] for line in t.toDebugString.split("\n")[1:]] for t in trees]
+        if count > 10_000:
+            assert splits(model.stages[1].trees) == splits(own.trees)
+        want = {tuple(r[:-1]): r[-1][1] for r in own.transform(assembled).select(*FEATURES, "probability").collect()}
+        for r in score_boosted(train, model).select(*FEATURES, "score").collect():
+            assert abs(want[tuple(r[:-1])] - r[-1]) < 1e-9
+
+
+def test_a_split_keeps_one_copy_of_its_rows(spark, monkeypatch):
+    """What was written on the way to the ranks goes as soon as they are there."""
+    import os
+
+    from tapewarden.operators import learning
+    from tapewarden.operators import split
+
+    folders, counted = [], []
+    written = split.written
+    monkeypatch.setattr(split, "written", lambda df, *more: (folders.append(out := written(df, *more)), counted.append(df.columns), out)[2])
+    rows = spark.range(900).select(F.col("id").alias("event_us"), F.col("id").cast("string").alias("trade_id"))
+    for limit in (100, 10_000):
+        folders.clear(), counted.clear()
+        train, test = learning.time_split(rows, 0.3, rows_per_task=limit)
+        assert (train.count(), test.agg(F.min("_pos"), F.max("event_us")).first()[:]) == (630, (630, 899))
+        paths = [f.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/") for f in folders]
+        whole = [p for p, names in zip(paths, counted, strict=True) if "trade_id" in names]
+        assert len(whole) == 2 and sum(os.path.exists(p) for p in whole) == 1
+        split.discard(train)
+        assert not any(os.path.exists(p) for p in whole)
